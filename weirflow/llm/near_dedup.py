@@ -5,10 +5,10 @@ shingle set, compressed registers and band keys.  Equal sets are collapsed to
 their smallest document before anything is paired, so a group of copies costs
 one row.  Keys with up to ``group_pairs`` sets pair them all; a larger key pairs
 its sets with one leader, and where its sets then still lie in more than one
-component, a second pass compares their registers in blocks and pairs only
-those of different components whose estimate is high enough.  So no key's
-pairs are enumerated, and a pair that shares a key is lost only if its estimate
-lies five standard errors below the truth.
+component, a second pass counts common shingles in blocks, by an inverted list
+per block, and yields only links that join two components, which full sets then
+confirm.  So no key's pairs are enumerated, and a pair that shares a key is lost
+only if its estimate lies five standard errors below the truth.
 
 Nulls: a null or wordless text has an empty set and links with nothing; a null
 doc_id takes part as no one's partner and its component is null.  Repeated rows
@@ -103,36 +103,30 @@ def near_duplicates(
         some.join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "registers", "keys"),
         "sets",
     )
-    members = s.save(sets.select(F.explode("keys").alias("key"), "rep", "n"), "members")
-    groups = s.save(members.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("key", "rep"), "rep", "n")).alias("lead")).where("c > 1"), "groups")
-    fits = "4 * least(na, nb) >= 3 * greatest(na, nb)" if (num, den) == (75, 100) else f"{den} * least(na, nb) >= {num} * greatest(na, nb)"
-    held = members.join(groups.where(f"c <= {group_pairs}").select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rep", "n"))).alias("g"))
-    pairs = held.select(F.posexplode("g").alias("i", "x"), "g").select(F.col("x.rep").alias("a"), F.col("x.n").alias("na"), F.explode(F.expr("slice(g, i + 2, size(g))")).alias("y")).select("a", "na", F.col("y.rep").alias("b"), F.col("y.n").alias("nb"))
-    hot = members.join(groups.where(f"c > {group_pairs}").select("key", "c", "lead"), "key")
-    star = hot.where("rep <> lead.rep").select(
-        F.least("rep", "lead.rep").alias("a"), F.when(F.col("rep") < F.col("lead.rep"), F.col("n")).otherwise(F.col("lead.n")).alias("na"),
-        F.greatest("rep", "lead.rep").alias("b"), F.when(F.col("rep") < F.col("lead.rep"), F.col("lead.n")).otherwise(F.col("n")).alias("nb"),
-    )
-    pairs = pairs.unionByName(star).where(fits).distinct()
-    r = sets.select("rep", "registers")
-    close = s.save(
-        pairs.join(r.select(F.col("rep").alias("a"), F.col("registers").alias("ra")), "a").join(r.select(F.col("rep").alias("b"), F.col("registers").alias("rb")), "b")
-        .mapInArrow(lambda it: _estimate(it, share), "a long, b long"),
-        "close",
-    )
+    members = sets.select(F.explode("keys").alias("key"), "rep")
+    groups = s.save(members.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("key", "rep"), "rep"))["rep"].alias("lead")).where("c > 1"), "groups")
+    members = s.save(members.join(groups, "key"), "members")  # those with company
+    held = members.where(F.col("c") <= group_pairs).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("g"))
+    pairs = held.select(F.posexplode("g").alias("i", "a"), "g").select("a", F.explode(F.expr("slice(g, i + 2, size(g))")).alias("b"))
+    hot = members.where(F.col("c") > group_pairs)
+    pairs = pairs.unionByName(hot.where("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))).distinct()
+    of_a, of_b = (sets.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}")) for x in "ab")
+    both = pairs.join(of_a, "a").join(of_b, "b").where(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
+    close = s.save(both.mapInArrow(lambda it: _estimate(it, share), "a long, b long"), "close")
     links = s.save(_verified(docs, close, id_col, text_col, words, num, den), "links")
     comp = connected_components(links, "a", "b", s)
     s.drop(close)
 
     # keys with many sets that do not all lie in one component yet
-    mine = hot.select("key", "c", "rep", "n").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "c", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    mine = s.save(mine, "hot")
+    mine = hot.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "c", "rep", F.coalesce("component", "rep").alias("comp"))
+    open_keys = mine.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    mine = s.save(mine.join(open_keys, "key", "left_semi"), "hot")
     if not mine.isEmpty():
-        open_keys = mine.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        more = s.save(_across(mine.join(open_keys, "key", "left_semi"), sets, share, block), "more")
-        again = s.save(_verified(docs, more, id_col, text_col, words, num, den), "again")
-        links = links.unionByName(again)
+        ids = s.save(mine.select(F.col("rep").alias("id")).distinct(), "hot-ids")
+        more = s.save(_across(mine, _compact(_texts(docs, ids, ids.count(), id_col, text_col), words), num, den, block), "more")
+        links = links.unionByName(s.save(_verified(docs, more, id_col, text_col, words, num, den), "again"))
         comp = connected_components(links, "a", "b", s)
+        s.drop(ids)
     s.drop(members, groups, mine)
     by_set = first.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f0", "f1", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "f0", "f1").join(by_set, ["f0", "f1", "n_shingles"], "left")
@@ -140,43 +134,73 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _texts(docs: DataFrame, ids: DataFrame, count: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the listed ids; the list is broadcast only where it has been counted and is small."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return texts.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "id", "left_semi").dropDuplicates(["id"])
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> DataFrame:
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    small = pairs.count() * 2 <= BROADCAST_IDS
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(F.broadcast(ids) if small else ids, "id", "left_semi").dropDuplicates(["id"])
+    texts = _texts(docs, ids, 2 * pairs.count(), id_col, text_col)
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     return joined.mapInArrow(lambda it: _verify(it, words, num, den), "a long, b long")
 
 
-def _across(mine: DataFrame, sets: DataFrame, share: float, block: int) -> DataFrame:
-    """Pairs of one key and different components with a high enough estimate, found block against block.
+def _compact(texts: DataFrame, words: int) -> DataFrame:
+    """(rep, n, bits): shingle sets as 32-bit hashes, whose common counts are never below the true ones."""
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [shingle_set(t, words) for t in as_bytes(batch.column(1))]
+            bits = [np.unique((h >> U(32)).astype(np.uint32)).tobytes() for h in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(bits, pa.binary())], names=["rep", "n", "bits"])
+
+    return texts.mapInArrow(pack, "rep long, n long, bits binary")
+
 
-    A key's sets are dealt to chunks of about ``block``; a task gets two chunks and yields pairs only.
+def _across(mine: DataFrame, sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """Links between different components within a key, found block against block.
+
+    A key's sets are dealt to chunks of about ``block``; a task gets two chunks, counts common shingles
+    through an inverted list, and yields one link for each two components it joins, so at most a row per set.
     """
-    rows = mine.join(sets.select("rep", "registers"), "rep").withColumn("chunks", F.ceil(F.col("c") / block).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "key", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"), "chunk", "rep", "n", "comp", "registers"
-    )
+    chunked = mine.withColumn("chunks", F.ceil(F.col("c") / block).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    dealt = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("key", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"), "chunk", "rep", "comp")
 
     def compare(pdf):
         import pandas as pd
 
-        p, q = pdf.p.iloc[0], pdf.q.iloc[0]
-        left, right = (pdf[pdf.chunk == c].sort_values("rep") for c in (p, q))
-        out = []
+        pdf = pdf.sort_values("rep").reset_index(drop=True)
+        left, right = np.flatnonzero(pdf.chunk == pdf.p.iloc[0]), np.flatnonzero(pdf.chunk == pdf.q.iloc[0])
+        rep, comp, n = pdf.rep.to_numpy(), pdf.comp.to_numpy(), pdf.n.to_numpy()
+        bits = [np.frombuffer(x, np.uint32) for x in pdf.bits]
+        out, up = [], {}
+
+        def top(x):
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
         if len(left) and len(right):
-            regs, n, comp, rep = (np.frombuffer(b"".join(right.registers), np.uint16).reshape(-1, H.BUCKETS), right.n.to_numpy(), right.comp.to_numpy(), right.rep.to_numpy())
-            for i, (ri, ni, ci, si) in enumerate(zip(left.rep, left.n, left.comp, left.registers, strict=True)):
-                at = np.flatnonzero((comp != ci) & (4 * np.minimum(n, ni) >= 4 * share * np.maximum(n, ni)) & ((rep > ri) if p == q else True))
-                if len(at):
-                    own = np.frombuffer(si, np.uint16)[None]
-                    raw, used = ((regs[at] == own) & (own != 0)).sum(1), np.maximum(((regs[at] | own) != 0).sum(1), 1)
-                    at = at[raw >= used * (share - 5 * np.sqrt(share * (1 - share) / used))]  # the correction only lowers it
-                    j, se = H.jaccard(regs[at], own, n[at], np.array([ni]))
-                    got = at[j >= share - 10 * se * np.sqrt(share * (1 - share))]
-                    out.append(np.stack([np.minimum(rep[got], ri), np.maximum(rep[got], ri)], 1))
-        found = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
-
-    return dealt.groupBy("key", "p", "q").applyInPandas(compare, "a long, b long").distinct()
+            values = np.concatenate([bits[j] for j in right])
+            owner = np.repeat(np.arange(len(right)), [len(bits[j]) for j in right])
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            for i in left:
+                lo, hi = np.searchsorted(values, bits[i], "left"), np.searchsorted(values, bits[i], "right")
+                size = hi - lo
+                at = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+                both = np.bincount(owner[at], minlength=len(right))
+                near = right[(den * both >= num * (n[i] + n[right] - both)) & (comp[right] != comp[i])]
+                for j in near[np.unique(comp[near], return_index=True)[1]].tolist():
+                    x, y = top(int(comp[i])), top(int(comp[j]))
+                    if x != y:
+                        up[max(x, y)] = min(x, y)
+                        out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return dealt.join(sets, "rep").groupBy("key", "p", "q").applyInPandas(compare, "a long, b long").distinct()
