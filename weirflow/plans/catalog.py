@@ -25,6 +25,7 @@ from weirflow.operators.ledger import ledger
 from weirflow.plans.sql import ACTIONS, BASIS, sql
 from weirflow.schema import Params
 from weirflow.sources.tables import accounts, transfers
+from weirflow.storage import Scratch
 
 WIDE = replace(Params(), flow_window=120)
 K = 20
@@ -48,11 +49,12 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
 
 def features(s, d) -> DataFrame:
     tx, acc = transfers(s, d), accounts(s, d)
-    return acc.join(B.behaviour(tx, acc), "account_id").join(R.relational(tx, acc), "account_id")
+    both = acc.join(B.behaviour(tx, acc), "account_id").join(R.relational(tx, acc), "account_id")
+    return Scratch(s, "features").save(both, "features")  # a stage table: later steps read it several times
 
 
 def graph(s, d, p=WIDE) -> DataFrame:
-    return W.laundering_edges(transfers(s, d), p)
+    return Scratch(s, "edges").save(W.laundering_edges(transfers(s, d), p), "edges")
 
 
 def rules(s, d) -> DataFrame:
