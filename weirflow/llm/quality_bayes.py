@@ -22,19 +22,24 @@ from pyspark.sql import functions as F
 from weirflow.storage import Scratch
 
 FEATURES = ("symbols", "bars", "shouts", "capitals", "digits", "word_length", "lines", "length")
+SYMBOLS, CAPITALS, DIGITS = "#*$%&<>", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 
 def measures(text: Column) -> dict[str, Column]:
-    """Shares of characters by kind, from JVM-side string functions."""
+    """Shares of characters by kind, from JVM-side string functions.
+
+    One pass maps each kind's characters to one of them; what is counted is ASCII, so bytes removed are characters.
+    """
     t = F.coalesce(text.cast("string"), F.lit(""))
     n = F.greatest(F.length(t), F.lit(1))
+    kinds = F.translate(t, SYMBOLS + CAPITALS + DIGITS, "#" * len(SYMBOLS) + "A" * len(CAPITALS) + "0" * len(DIGITS))
 
-    def share(chars):
-        return (F.length(t) - F.length(F.translate(t, chars, ""))) / n
+    def count(c):
+        return F.octet_length(kinds) - F.octet_length(F.replace(kinds, F.lit(c), F.lit("")))
 
     return {
-        "symbols": share("#*$%&<>"), "bars": share("|"), "shouts": share("!"), "capitals": share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "digits": share("0123456789"),
-        "word_length": F.least(n / (F.length(t) - F.length(F.translate(t, " ", "")) + 1), F.lit(20.0)) / 20, "lines": share("\n") * 10, "length": F.log1p(n.cast("double")) / 10,
+        "symbols": count("#") / n, "bars": count("|") / n, "shouts": count("!") / n, "capitals": count("A") / n, "digits": count("0") / n,
+        "word_length": F.least(n / (count(" ") + 1), F.lit(20.0)) / 20, "lines": count("\n") / n * 10, "length": F.log1p(n.cast("double")) / 10,
     }
 
 
