@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from weirflow.llm import decontamination, licenses, mixing, near_dedup, pii, quality_bayes, quality_rules, reply_trees, revisits, sharding
+from weirflow.llm.sql import OP1_SQL, OP8_SQL, OP9_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -153,4 +154,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_reply_trees, op3_pii, op4_licenses, op5_decontamination, op6_quality_bayes, op7_revisits, op8_mixing, op9_quality_rules, op10_sharding, pipeline)}
-ORACLE = {"op2_reply_trees": OP2_SQL, "op7_revisits": OP7_SQL}
+ORACLE = {"op1_near_dedup": OP1_SQL, "op2_reply_trees": OP2_SQL, "op7_revisits": OP7_SQL, "op8_mixing": OP8_SQL, "op9_quality_rules": OP9_SQL}
