@@ -63,7 +63,11 @@ def settle(counts: list[int], owners: list[int], bounds: list[int]) -> list[list
 
 
 def shard_rows(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", vnodes: int = 64, seed: int = 17, block_rows: int = 50_000, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, home_shard, and the columns of ``keep``."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, home_shard, and the columns of ``keep``.
+
+    Without ``keep`` the narrow rows are written once and reread.  With ``keep`` that table would be a copy of
+    ``docs``, so ``docs`` itself is read again: it must then be a stored table, or otherwise give the same rows twice.
+    """
     spark, keep = docs.sparkSession, keep or []
     s = Scratch(spark, "sharding")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -78,7 +82,9 @@ def shard_rows(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_c
     def arc_of(h: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(edges, h.to_numpy()) % len(edges), dtype="int32")
 
-    rows = s.save(sized.withColumn("arc", arc_of("h")), "rows")
+    rows = sized.withColumn("arc", arc_of("h"))
+    if not keep:
+        rows = s.save(rows, "rows")
     total = rows.count()
     bits = max(0, 62 - max(0, (max(1, total // block_rows) - 1).bit_length()))
     rows = rows.withColumn("block", F.shiftright("h", bits))
