@@ -7,7 +7,10 @@ from mergeable quantile sketches: logarithmic histograms with relative error
 A group with fewer than ``min_rows`` rows takes its language's sketch, and that
 failing the global one.  A row is rejected where a measure lies beyond the
 group's median plus ``spread`` times the distance from median to upper
-quartile, but never for a value below the lenient floor of the measure.
+quartile, but never for a value below the lenient floor of the measure.  A group
+whose upper quartile lies beyond its parent's threshold is dirty, and a share's
+threshold of one or more rejects nothing: both take the parent's, and everything
+takes the floor.
 
 Null or empty texts have zero in every count and fail the base rule; null
 languages and sources are groups of their own; repeated rows are judged alike.
@@ -101,21 +104,25 @@ def quantiles(sketch: DataFrame, groups: list[str], at: dict[str, float]) -> Dat
 
 def thresholds(sketch: DataFrame, groups: list[str], spread: float, min_rows: int) -> DataFrame:
     """One row per group with an upper threshold per measure, from the group's own sketch or its parents'."""
-    levels, at = [], {"q50": 0.5, "q75": 0.75}
-    for depth in range(len(groups), -1, -1):
+    floor = F.create_map(*[F.lit(x) for kv in FLOORS.items() for x in kv])[F.col("measure")]
+    out = None
+    for depth in range(len(groups) + 1):
         own = groups[:depth]
-        merged = sketch.groupBy(*own, "measure", "bin").agg(F.sum("n").alias("n"))
-        levels.append((own, quantiles(merged, own, at).withColumn("cut", F.col("q50") + spread * (F.col("q75") - F.col("q50")))))
-    own, out = levels[0]
-    out = out.select(*groups, "measure", F.when(F.col("rows") >= min_rows, F.col("cut")).alias("cut"))
-    for own, q in levels[1:]:
-        up = q.select(*[F.col(g).alias(f"_{g}") for g in own], F.col("measure").alias("_m"), F.when((F.col("rows") >= min_rows) | F.lit(not own), F.col("cut")).alias("_cut"))
-        on = F.col("measure") == F.col("_m")
-        for g in own:
-            on = on & F.col(g).eqNullSafe(F.col(f"_{g}"))
-        out = out.join(up, on, "left").select(*groups, "measure", F.coalesce("cut", "_cut").alias("cut"))
-    floor = F.create_map(*[F.lit(x) for kv in FLOORS.items() for x in kv])
-    return out.groupBy(*groups).agg(*[F.max(F.when(F.col("measure") == m, F.greatest("cut", floor[m]))).alias(f"max_{m}") for m in FLOORS])
+        q = quantiles(sketch.groupBy(*own, "measure", "bin").agg(F.sum("n").alias("n")), own, {"q50": 0.5, "q75": 0.75})
+        q = q.withColumn("cut", F.greatest(F.col("q50") + spread * (F.col("q75") - F.col("q50")), floor))
+        if out is None:
+            q = q.withColumn("_cut", floor)
+        else:
+            on = F.col("measure") == F.col("_m")
+            for g in own[:-1]:
+                on = on & F.col(g).eqNullSafe(F.col(f"_{g}"))
+            q = q.join(out.select(*[F.col(g).alias(f"_{g}") for g in own[:-1]], F.col("measure").alias("_m"), F.col("cut").alias("_cut")), on)
+        # words may be longer in one language than in another; shares may not be larger
+        dirty = (F.col("q75") > F.col("_cut")) & ((F.col("measure") != "word_length") | F.lit(depth > 1))
+        idle = (F.col("measure") != "word_length") & (F.col("cut") >= 1)
+        usable = ((F.col("rows") >= min_rows) | F.lit(not own)) & ~dirty & ~idle
+        out = q.select(*own, "measure", F.when(usable, F.col("cut")).otherwise(F.col("_cut")).alias("cut"))
+    return out.groupBy(*groups).agg(*[F.max(F.when(F.col("measure") == m, F.col("cut"))).alias(f"max_{m}") for m in FLOORS])
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", spread: float = 8.0, min_rows: int = 50, extra: list[str] | None = None, carry: bool = False) -> DataFrame:
