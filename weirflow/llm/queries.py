@@ -88,12 +88,12 @@ def op6_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_records(pages: DataFrame) -> DataFrame:
     """Captures derived from pages: a full response for each, later revisits of it, and some that come first.
 
-    The recrawl of a page uses the other scheme and a final slash; each seventh has another ETag, each
+    The recrawl of a page uses the other scheme and a final slash and keeps the query; each seventh has another ETag, each
     fifth response has a Last-Modified and no ETag.
     """
     dated = F.pmod("page_id", F.lit(5)) == 0
     date = F.concat(F.lit("day "), F.pmod("page_id", F.lit(28)).cast("string"))
-    other = F.concat(F.when(F.col("url").startswith("https:"), "http:").otherwise("https:"), F.regexp_replace(F.regexp_replace("url", "^https?:", ""), "[?#].*$", ""), F.lit("/"))
+    other = F.concat(F.when(F.col("url").startswith("https:"), "http:").otherwise("https:"), F.regexp_replace(F.regexp_replace("url", "^https?:", ""), "[?#].*$", ""), F.lit("/"), F.regexp_extract("url", r"^[^?#]*(\?[^#]*)", 1))
     tag = F.md5(F.col("html").cast("binary"))
     full = pages.select(
         (F.col("page_id") * 4).alias("record_id"), "url", (F.col("page_id") * 10).alias("ts"), F.lit("response").alias("kind"), F.when(~dated, tag).alias("etag"), F.when(dated, date).alias("last_modified"),
@@ -113,7 +113,8 @@ def page_records(pages: DataFrame) -> DataFrame:
 
 def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = revisits.resolve_revisits(page_records(table(spark, sf_dir, "pages").select(F.col("page_id").cast("long"), "url", "html")))
-    return got.select("record_id", "url_key", "ts", "outcome", "response_id", "response_ts", "digest", "length", F.col("headers")["cache-control"].alias("cache_control"), F.col("headers")["content-type"].alias("content_type"), F.col("headers")["content-length"].alias("content_length"))
+    # resolved by the whole key; shown is its part before the query
+    return got.select("record_id", F.regexp_replace("url_key", r"\?.*$", "").alias("url_key"), "ts", "outcome", "response_id", "response_ts", "digest", "length", F.col("headers")["cache-control"].alias("cache_control"), F.col("headers")["content-type"].alias("content_type"), F.col("headers")["content-length"].alias("content_length"))
 
 
 OP7_SQL = """

@@ -22,14 +22,19 @@ from pyspark.sql import functions as F
 #: Fields a 304 response may update (RFC 9111 section 3.2 and RFC 9110 section 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary", "age", "warning")
 
+#: Query parameters that tell where a visitor came from and never which resource is meant.
+TRACKING = r"^(?i:utm_[a-z_]+|gclid|fbclid|msclkid|dclid|mc_cid|mc_eid)(=|$)"
+
 
 def canonical_url(url: Column) -> Column:
-    """Host and path in lower case without scheme, www., default port, query, fragment and final slash."""
-    u = F.regexp_replace(F.lower(F.trim(url)), r"^[a-z][a-z0-9+.-]*://", "")
-    u = F.regexp_replace(u, r"[?#].*$", "")
-    u = F.regexp_replace(u, r"^www[0-9]*\.", "")
-    u = F.regexp_replace(u, r"^([^/:]*):(80|443)(/|$)", "$1$3")
-    return F.regexp_replace(u, r"/+$", "")
+    """Host and path in lower case without scheme, www., default port, fragment and final slash; of the query the sorted parameters, as written, but for those that only track."""
+    u = F.regexp_replace(F.trim(url), r"#.*$", "")
+    page = F.regexp_replace(F.lower(F.regexp_replace(u, r"\?.*$", "")), r"^[a-z][a-z0-9+.-]*://", "")
+    page = F.regexp_replace(page, r"^www[0-9]*\.", "")
+    page = F.regexp_replace(page, r"^([^/:]*):(80|443)(/|$)", "$1$3")
+    page = F.regexp_replace(page, r"/+$", "")
+    query = F.array_sort(F.filter(F.split(F.regexp_extract(u, r"\?(.*)$", 1), "&"), lambda x: (x != "") & ~x.rlike(TRACKING)))
+    return F.concat(page, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(""))
 
 
 def resolve_revisits(records: DataFrame, blocks: int = 64) -> DataFrame:
