@@ -4,8 +4,8 @@ A softmax regression on word 1- to 3-grams is trained on the driver from the
 notice templates below (each in several worded variants) and from sentences
 that speak of licences without granting one (class ``unknown``).  Its
 temperature is calibrated on variants held out from training.  Scoring is
-DataFrame operations only: paragraphs with a cue word are normalised and
-collapsed to distinct wordings, their n-grams join the weight table (its size is
+DataFrame operations only: lines with a cue word, and windows over several
+lines that hold one, are normalised and collapsed to distinct wordings, their n-grams join the weight table (its size is
 that of the templates), scores are summed per wording, and a family counts only
 if its calibrated probability and its overlap with a template are high enough.
 
@@ -19,7 +19,7 @@ import math
 import random
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.storage import Scratch
@@ -47,8 +47,10 @@ UNKNOWN = [
     "the copyright office is closed on sunday", "permission was denied by the court", "the general public is invited to the library", "the apache helicopter landed near the base",
     "he studied at mit and moved to berlin", "version 3 of the report was published", "a creative idea and a common goal", "the terms of the treaty were rejected", "the license expired and was not renewed",
 ]
-CUES = r"(?i)(\blicen[cs]|\bcopyright|\bpermission|\bredistribut|\b[al]?gpl\b|rights reserved|public domain|\bcc0\b)"
+CUES = r"(?i)(\blicen[cs]|\bcopyright|\bpermission|\bredistribut|\b[al]?gpl\b|rights\s+reserved|public\s+domain|\bcc0\b)"
 CLASSES = (*TEMPLATES, "unknown")
+#: Families that only their version tells apart: without its number as a word there is no telling which it is.
+VERSIONED = {"GPL-3.0": "3", "GPL-2.0": "2"}
 
 
 def grams(words: list[str], upto: int = 3) -> list[str]:
@@ -112,26 +114,19 @@ def gram_column(words: Column, k: int) -> Column:
     return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, k), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def licence_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sure: float = 0.5, overlap: float = 0.6, window: int = 60) -> DataFrame:
-    """doc_id, paragraph (number of the line, from 0), family, probability, similarity, confirmed.
+def windows(words: Column, size: int, step: int) -> Column:
+    """Slices of ``size`` words, one each ``step``: a run of ``size - step`` words lies whole in one."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (size - step), F.lit(1)), F.lit(step)), lambda i: F.slice(words, i, size))
 
-    Long paragraphs are scored by windows of ``window`` words around their cues so that a notice inside
-    running text is seen; a window that is not confirmed has the family ``unknown``.
-    """
-    s = Scratch(docs.sparkSession, "licences")
-    spark = docs.sparkSession
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).where(F.col("t").rlike(CUES))
-    lines = lines.select("doc_id", F.posexplode(F.split("t", "\n", -1)).alias("paragraph", "line")).where(F.col("line").rlike(CUES))
-    words = lines.select("doc_id", "paragraph", normal_words(F.col("line")).alias("w"))
-    step = window // 2
-    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - step, F.lit(1)), F.lit(step))
-    parts = words.select("doc_id", "paragraph", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, window), " "))).alias("norm")).where(F.col("norm").rlike(CUES))
-    parts = s.save(parts, "parts")
-    weights, bias, heat, _ = train()
+
+def judge(parts: DataFrame, model: tuple, sure: float, overlap: float) -> DataFrame:
+    """``parts`` with family, probability, similarity and confirmed in place of ``norm``; those without a known n-gram go."""
+    spark = parts.sparkSession
+    weights, bias, heat, _ = model
     table = spark.createDataFrame([(g, [float(x) for x in v]) for g, v in weights.items()], "g string, w array<double>")
-    texts = parts.select("norm").distinct()
+    wordings = parts.select("norm").distinct()
     split = F.split("norm", " ")
-    g = texts.select("norm", F.explode(F.concat(*[gram_column(split, k) for k in (1, 2, 3)])).alias("g")).groupBy("norm", "g").agg(F.count("*").alias("n"))
+    g = wordings.select("norm", F.explode(F.concat(*[gram_column(split, k) for k in (1, 2, 3)])).alias("g")).groupBy("norm", "g").agg(F.count("*").alias("n"))
     # n-grams are normalised by the length of the known ones, as in training on short notices
     hits = g.join(F.broadcast(table), "g")  # bounded by the templates
     sums = hits.groupBy("norm").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("len"), *[F.sum(F.col("n") * F.col("w")[i]).alias(f"z{i}") for i in range(len(CLASSES))])
@@ -141,7 +136,47 @@ def licence_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = named.select("norm", F.element_at(F.lit(list(CLASSES)), F.array_position("z", F.col("top")).cast("int")).alias("best"), (F.lit(1.0) / total).alias("probability"))
     own = gram_column(F.split("norm", " "), 2)
     likeness = F.greatest(*[F.when(F.col("best") == name, F.size(F.array_intersect(own, F.array(*[F.lit(x) for x in t2]))) / len(t2)).otherwise(0.0) for name, ts in TEMPLATES.items() for t in ts if (t2 := sorted({x for x in grams(t.split(), 2) if " " in x}))])
-    judged = named.withColumn("similarity", likeness).withColumn("confirmed", (F.col("best") != "unknown") & (F.col("probability") >= sure) & (F.col("similarity") >= overlap))
+    told = F.lit(True)
+    for name, number in VERSIONED.items():
+        told = told & ((F.col("best") != name) | F.col("norm").rlike(rf"\bv?{number}\b"))
+    judged = named.withColumn("similarity", likeness).withColumn("confirmed", told & (F.col("best") != "unknown") & (F.col("probability") >= sure) & (F.col("similarity") >= overlap))
     judged = judged.select("norm", F.when(F.col("confirmed"), F.col("best")).otherwise("unknown").alias("family"), "probability", "similarity", "confirmed")
-    out = parts.join(judged, "norm").groupBy("doc_id", "paragraph", "family", "confirmed").agg(F.max("probability").alias("probability"), F.max("similarity").alias("similarity"))
+    return parts.join(judged, "norm").drop("norm")
+
+
+def licence_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sure: float = 0.5, overlap: float = 0.6, window: int = 60) -> DataFrame:
+    """doc_id, paragraph (number of the line, from 0), family, probability, similarity, confirmed.
+
+    Long lines are scored by windows of ``window`` words around their cues so that a notice inside
+    running text is seen; a window that is not confirmed has the family ``unknown``.  A notice wrapped
+    over lines is sought in windows of the joined lines that are not confirmed alone, and reported once,
+    at its first line with a cue; what its lines give by themselves is reported as well.
+    """
+    s = Scratch(docs.sparkSession, "licences")
+    model = train()
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).where(F.col("t").rlike(CUES))
+    texts = s.save(texts.select("doc_id", F.monotonically_increasing_id().alias("row"), F.split("t", "\n", -1).alias("lines")), "texts")
+    lines = texts.select("doc_id", "row", F.posexplode("lines").alias("paragraph", "line")).where(F.col("line").rlike(CUES))
+    words = lines.select("doc_id", "row", "paragraph", normal_words(F.col("line")).alias("w"))
+    parts = words.select("doc_id", "row", "paragraph", (F.size("w") <= window).alias("short"), F.explode(F.transform(windows(F.col("w"), window, window // 2), lambda x: F.array_join(x, " "))).alias("norm")).where(F.col("norm").rlike(CUES))
+    single = s.save(judge(s.save(parts, "parts"), model, sure, overlap), "single")
+
+    # the words of all other lines with their line numbers
+    known = single.where("confirmed and short").groupBy("row").agg(F.collect_set("paragraph").alias("known"))
+    numbered = F.flatten(F.transform("lines", lambda x, i: F.when(F.coalesce(F.array_contains("known", i), F.lit(False)), F.array().cast("array<struct<i:int,w:string>>")).otherwise(F.transform(normal_words(x), lambda w: F.struct(i.alias("i"), w.alias("w"))))))
+    cues = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(CUES), i)), lambda i: i.isNotNull())
+    joined = texts.where(F.size("lines") > 1).join(known, "row", "left").select("doc_id", "row", numbered.alias("w"), cues.alias("cues")).where(F.size("w") > 0)
+    joined = joined.select("doc_id", "row", "cues", F.explode(F.concat(*[windows(F.col("w"), n, k) for n, k in ((window, window // 2), (window * 2 // 3, window // 6), (window // 3, window // 12))])).alias("x"))
+    joined = joined.select("doc_id", "row", "cues", F.array_min("x.i").alias("lo"), F.array_max("x.i").alias("hi"), F.array_join("x.w", " ").alias("norm")).where("lo < hi").where(F.col("norm").rlike(CUES))
+    first = F.coalesce(F.array_min(F.filter("cues", lambda i: i.between(F.col("lo"), F.col("hi")))), F.col("lo"))
+    joined = s.save(joined.select("doc_id", "row", first.alias("paragraph"), "lo", "hi", "norm"), "joined")
+    # windows of one family that overlap are one notice; one within a long line has been seen there
+    run = Window.partitionBy("row", "family").orderBy("lo", "hi")
+    across = judge(joined, model, sure, overlap).where("confirmed").withColumn("before", F.max("hi").over(run.rowsBetween(Window.unboundedPreceding, -1)))
+    across = across.withColumn("notice", F.sum(F.when(F.col("lo") <= F.col("before"), 0).otherwise(1)).over(run.rowsBetween(Window.unboundedPreceding, 0)))
+    seen = single.where("confirmed and not short").select(F.col("row").alias("_r"), F.col("family").alias("_f"), F.col("paragraph").alias("_p")).distinct()
+    across = across.join(seen, (F.col("row") == F.col("_r")) & (F.col("family") == F.col("_f")) & F.col("_p").between(F.col("lo"), F.col("hi")), "left_anti")
+    across = across.groupBy("doc_id", "row", "family", "notice", "confirmed").agg(F.min("paragraph").alias("paragraph"), F.max("probability").alias("probability"), F.max("similarity").alias("similarity"))
+    cols = ["doc_id", "paragraph", "family", "confirmed", "probability", "similarity"]
+    out = single.select(cols).unionByName(across.select(cols)).groupBy("doc_id", "paragraph", "family", "confirmed").agg(F.max("probability").alias("probability"), F.max("similarity").alias("similarity"))
     return out.select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), "confirmed")
