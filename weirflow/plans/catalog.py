@@ -65,6 +65,11 @@ def parts(s, d) -> DataFrame:
     return connected_components(graph(s, d)).withColumnRenamed("component", "community")
 
 
+def member_communities(e: DataFrame) -> DataFrame:
+    """Louvain communities of an edge table (u, v, amount), also inside one giant component."""
+    return G.louvain(G.undirected(e, "u", "v", "amount"))
+
+
 @query("flow_through_edges", 'SELECT txn_id, u, v, amount, "minute" FROM flow')
 def _(s, d):
     return W.flow_edges(transfers(s, d), WIDE)
@@ -265,6 +270,11 @@ def _(s, d):
     return rounded(C.community_scores(C.community_table(features(s, d), parts(s, d))).select("community", "score"), "score")
 
 
+@query("community_score_louvain")
+def _(s, d):
+    return rounded(C.community_scores(C.community_table(features(s, d), member_communities(graph(s, d)))).select("community", "score"), "score")
+
+
 @query("community_purity", "SELECT community, count(*) AS n, CAST(sum(is_mule) AS BIGINT) AS mules, round(avg(is_mule), 6) AS purity FROM comp JOIN acc ON account_id = node GROUP BY 1")
 def _(s, d):
     return rounded(C.purity(accounts(s, d), parts(s, d)), "purity")
@@ -311,7 +321,7 @@ def _(s, d):
 @query("final_score")
 def _(s, d):
     e, acc = graph(s, d), accounts(s, d)
-    comm = connected_components(e).withColumnRenamed("component", "community")
+    comm = Scratch(s, "communities").save(member_communities(e), "communities")  # read twice below
     scored = C.community_scores(C.community_table(features(s, d), comm))
     f = C.member_scores(acc, comm, scored).join(M.motif_features(e, acc, WIDE), "account_id")
     return rounded(D.final_score(f), "score")
