@@ -90,7 +90,7 @@ class Index:
         get, threshold = self.terms.get, self.threshold
         at = np.fromiter([get(w, 0) for w in words], np.int64, len(words))
         step = max(8, self.longest // 2)
-        starts = np.arange(0, max(1, len(words) - step), step)
+        starts = np.arange(0, max(1, len(words) - self.longest + 1), step)
         best: dict[int, float] = {}
         for part in range(0, len(starts), CHUNK):  # bounded memory on texts of any length
             begin = starts[part : part + CHUNK]
