@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,28 +26,50 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
-    """Tables of one job: ``save`` writes and rereads, ``drop`` deletes those no longer needed."""
+    """Tables of one job: ``save`` writes and rereads, ``drop`` deletes those no longer needed, ``close`` all of them."""
+
+    _open: list[str] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
-        self.paths: dict[int, str] = {}
+        Scratch._open.append(self.base)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
         path = f"{self.base}/{self.count:03d}-{name}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._weirflow_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
         for t in tables:
             path = getattr(t, "_weirflow_path", None)
             if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                _delete(self.spark, path)
+
+    def close(self) -> None:
+        """Deletes the folder of all tables: call it once no result that reads them is needed."""
+        _delete(self.spark, self.base)
+        if self.base in Scratch._open:
+            Scratch._open.remove(self.base)
+
+
+@contextmanager
+def released(spark: SparkSession, *keep: Scratch) -> Iterator[None]:
+    """Deletes the scratch folders opened inside, but for those of ``keep``: for a step that ends by storing its result."""
+    before = set(Scratch._open)
+    try:
+        yield
+    finally:
+        for base in [b for b in Scratch._open if b not in before and b not in {s.base for s in keep}]:
+            _delete(spark, base)
+            Scratch._open.remove(base)
