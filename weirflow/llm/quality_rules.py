@@ -1,19 +1,25 @@
 """Quality rules with thresholds that follow each language and source.
 
 One pass over the whole texts gives counts (words, symbols, repeated lines,
-words in repeated windows).  Fixed cut-offs are replaced by thresholds read
+words in repeated windows).  Four measures of them are cut by thresholds read
 from mergeable quantile sketches: logarithmic histograms with relative error
-``ACCURACY``, summed per (language, source), per language and over everything.
-A group with fewer than ``min_rows`` rows takes its language's sketch, and that
-failing the global one.  A row is rejected where a measure lies beyond the
-group's median plus ``spread`` times the distance from median to upper
-quartile, but never for a value below the lenient floor of the measure.  A group
-whose upper quartile lies beyond its parent's threshold is dirty, and a share's
-threshold of one or more rejects nothing: both take the parent's, and everything
-takes the floor.
+``ACCURACY``, summed per (language, source), per language and over everything,
+over the rows that pass the base rule.  The shares are smoothed by small counts
+before the logarithm, so a text without symbols has a share that its length
+explains and the sketches have a spread to measure.
+
+A sketch's threshold lies ``spread`` times its half spread from its median: the
+smaller of the distances from median to lower and to upper quartile, so up to
+half of a group may be junk on one side, and at least ``LEAST`` bins.  A group's
+threshold is pooled with its parent's (language, then everything) as ``prior``
+rows of the parent would be, and a share's is at most ``SLACK`` bins above the
+parent's.  All of it is integer arithmetic on bins.  No measure has a fixed cut-off.
 
 Null or empty texts have zero in every count and fail the base rule; null
-languages and sources are groups of their own; repeated rows are judged alike.
+languages and sources are groups of their own; repeated rows are judged alike;
+an empty table gives an empty result.  A group without a row that passes the
+base rule needs no threshold.  ``extra`` columns come back under their names,
+those with a name of the operator's with ``_in`` added.
 """
 
 from __future__ import annotations
@@ -24,14 +30,21 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.shingles import as_bytes, window_hashes
+from weirflow.llm.columns import carried
+from weirflow.llm.shingles import as_bytes, slices, window_hashes
 from weirflow.storage import Scratch
 
 ACCURACY = 0.01
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
-#: measure: lenient floor under which no row is rejected.
-FLOORS = {"symbol_share": 0.04, "duplicate_share": 0.3, "repeat_share": 0.2, "word_length": 12.0}
+#: Least half spread and largest rise over the parent's threshold, in bins of 2 %.
+LEAST, SLACK = 5, 35
+#: measure: (numerator, denominator, whether the lower tail is cut too).
+MEASURES = {
+    "symbol_share": ("n_symbols + 1", "word_chars + 100", False), "duplicate_share": ("n_dup_lines + 1", "n_lines + 10", False),
+    "repeat_share": ("n_repeat_words + 1", "n_words + 20", False), "word_length": ("word_chars", "n_words", True),
+}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+BASE = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
 
 
 def text_counts(text: bytes | None) -> tuple[int, int, int, int, int, int]:
@@ -66,7 +79,7 @@ def count_texts(docs: DataFrame, keep: list[str], text_col: str = "text", carry:
     def count(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             rows = [text_counts(t) for t in as_bytes(batch.column(batch.num_columns - 1))]
             counted = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))]
             upto = batch.num_columns if carry else batch.num_columns - 1
@@ -77,65 +90,60 @@ def count_texts(docs: DataFrame, keep: list[str], text_col: str = "text", carry:
     return src.mapInArrow(count, schema)
 
 
-def measures() -> dict:
-    return {
-        "symbol_share": F.col("n_symbols") / F.greatest("word_chars", F.lit(1)),
-        "duplicate_share": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
-        "repeat_share": F.col("n_repeat_words") / F.greatest("n_words", F.lit(1)),
-        "word_length": F.col("word_chars") / F.greatest("n_words", F.lit(1)),
-    }
+def bins() -> dict:
+    """measure: number of its logarithmic bin; null for rows that fail the base rule."""
+    return {m: F.when(~F.expr(BASE), F.ceil(F.log(F.expr(f"CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE)")) / F.lit(math.log(GAMMA)))).cast("int") for m, (a, b, _) in MEASURES.items()}
 
 
-def sketches(counted: DataFrame, groups: list[str]) -> DataFrame:
-    """Mergeable sketch rows: groups, measure, bin (null for 0), n.  Sketches merge by summing n."""
-    named = F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("value")) for k, v in measures().items()])
-    value = F.col("m.value")
-    bin_ = F.when(value > 0, F.ceil(F.log(value) / math.log(GAMMA))).cast("int")
-    return counted.select(*groups, F.explode(named).alias("m")).groupBy(*groups, F.col("m.measure").alias("measure"), bin_.alias("bin")).agg(F.count("*").alias("n"))
+def sketches(binned: DataFrame, groups: list[str]) -> DataFrame:
+    """Mergeable sketch rows: groups, measure, bin, n.  Sketches merge by summing n."""
+    named = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"_b_{m}").alias("bin")) for m in MEASURES])
+    return binned.select(*groups, F.explode(named).alias("m")).where("m.bin is not null").groupBy(*groups, F.col("m.measure").alias("measure"), F.col("m.bin").alias("bin")).agg(F.count("*").alias("n"))
 
 
 def quantiles(sketch: DataFrame, groups: list[str], at: dict[str, float]) -> DataFrame:
-    """Groups, measure, rows, and a column for each named quantile."""
+    """Groups, measure, rows, and for each named quantile its bin."""
     w = Window.partitionBy(*groups, "measure")
-    run = sketch.withColumn("upto", F.sum("n").over(w.orderBy(F.col("bin").asc_nulls_first()))).withColumn("rows", F.sum("n").over(w))
-    middle = F.when(F.col("bin").isNull(), 0.0).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bin")) / (GAMMA + 1))
-    return run.groupBy(*groups, "measure").agg(F.first("rows").alias("rows"), *[F.min(F.when(F.col("upto") >= F.ceil(F.col("rows") * q), middle)).alias(k) for k, q in at.items()])
+    run = sketch.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("rows", F.sum("n").over(w))
+    return run.groupBy(*groups, "measure").agg(F.first("rows").alias("rows"), *[F.min(F.when(F.col("upto") >= F.ceil(F.col("rows") * q), F.col("bin"))).cast("long").alias(k) for k, q in at.items()])
 
 
-def thresholds(sketch: DataFrame, groups: list[str], spread: float, min_rows: int) -> DataFrame:
-    """One row per group with an upper threshold per measure, from the group's own sketch or its parents'."""
-    floor = F.create_map(*[F.lit(x) for kv in FLOORS.items() for x in kv])[F.col("measure")]
+def thresholds(sketch: DataFrame, groups: list[str], spread: int, prior: int) -> DataFrame:
+    """One row per group with bins ``hi_`` and ``lo_`` per measure, from its own sketch pooled with its parents'."""
     out = None
     for depth in range(len(groups) + 1):
         own = groups[:depth]
-        q = quantiles(sketch.groupBy(*own, "measure", "bin").agg(F.sum("n").alias("n")), own, {"q50": 0.5, "q75": 0.75})
-        q = q.withColumn("cut", F.greatest(F.col("q50") + spread * (F.col("q75") - F.col("q50")), floor))
-        if out is None:
-            q = q.withColumn("_cut", floor)
-        else:
+        q = quantiles(sketch.groupBy(*own, "measure", "bin").agg(F.sum("n").alias("n")), own, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+        half = F.greatest(F.lit(LEAST), F.least(F.col("q75") - F.col("q50"), F.col("q50") - F.col("q25")))
+        q = q.select(*own, "measure", "rows", (F.col("q50") + spread * half).alias("hi"), (F.col("q50") - spread * half).alias("lo"))
+        if out is not None:
             on = F.col("measure") == F.col("_m")
             for g in own[:-1]:
                 on = on & F.col(g).eqNullSafe(F.col(f"_{g}"))
-            q = q.join(out.select(*[F.col(g).alias(f"_{g}") for g in own[:-1]], F.col("measure").alias("_m"), F.col("cut").alias("_cut")), on)
-        # words may be longer in one language than in another; shares may not be larger
-        dirty = (F.col("q75") > F.col("_cut")) & ((F.col("measure") != "word_length") | F.lit(depth > 1))
-        idle = (F.col("measure") != "word_length") & (F.col("cut") >= 1)
-        usable = ((F.col("rows") >= min_rows) | F.lit(not own)) & ~dirty & ~idle
-        out = q.select(*own, "measure", F.when(usable, F.col("cut")).otherwise(F.col("_cut")).alias("cut"))
-    return out.groupBy(*groups).agg(*[F.max(F.when(F.col("measure") == m, F.col("cut"))).alias(f"max_{m}") for m in FLOORS])
+            q = q.join(out.select(*[F.col(g).alias(f"_{g}") for g in own[:-1]], F.col("measure").alias("_m"), F.col("hi").alias("_hi"), F.col("lo").alias("_lo")), on)
+            hi, lo = (F.floor((F.col("rows") * F.col(x) + prior * F.col(f"_{x}")) / (F.col("rows") + prior)).cast("long") for x in ("hi", "lo"))
+            shares = ~F.col("measure").isin(*[m for m, v in MEASURES.items() if v[2]])
+            q = q.select(*own, "measure", "rows", F.when(shares, F.least(hi, F.col("_hi") + SLACK)).otherwise(hi).alias("hi"), lo.alias("lo"))
+        out = q
+    return out.groupBy(*groups).agg(*[F.max(F.when(F.col("measure") == m, F.col(x))).alias(f"{x}_{m}") for m in MEASURES for x in ("hi", "lo")])
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", spread: float = 8.0, min_rows: int = 50, extra: list[str] | None = None, carry: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", spread: int = 7, prior: int = 50, extra: list[str] | None = None, carry: bool = False) -> DataFrame:
     """Per row of docs: doc_id, counts, base_failed, kept, the thresholds that held, ``extra`` columns and, if ``carry``, the text as ``_text``."""
     s = Scratch(docs.sparkSession, "quality-rules")
-    extra = extra or []
-    renamed = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(source_col).cast("string").alias("_source"), *extra, F.col(text_col).alias("_t"))
-    counted = s.save(count_texts(renamed, ["doc_id", "_lang", "_source", *extra], "_t", carry), "counts")
-    cuts = s.save(thresholds(s.save(sketches(counted, ["_lang", "_source"]), "sketch"), ["_lang", "_source"], spread, min_rows), "cuts")
-    cuts = cuts.select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), *[f"max_{m}" for m in FLOORS])
+    shown = [f"max_{m}" for m in MEASURES] + [f"min_{m}" for m, v in MEASURES.items() if v[2]]
+    inner, outer = carried(extra, ["doc_id", *COUNTS, "base_failed", "kept", *shown, "_text"])
+    renamed = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(source_col).cast("string").alias("_source"), *inner, F.col(text_col).alias("_t"))
+    counted = count_texts(renamed, renamed.columns[:-1], "_t", carry)
+    counted = s.save(counted.withColumns({f"_b_{m}": b for m, b in bins().items()}), "counts")
+    cuts = s.save(thresholds(s.save(sketches(counted, ["_lang", "_source"]), "sketch"), ["_lang", "_source"], spread, prior), "cuts")
+    cuts = cuts.withColumnsRenamed({"_lang": "_l", "_source": "_s"})
     joined = counted.join(cuts, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left")
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     passes = F.lit(True)
-    for m, v in measures().items():
-        passes = passes & (v <= F.col(f"max_{m}"))
-    return joined.select("doc_id", *COUNTS, base.alias("base_failed"), (~base & passes).alias("kept"), *[f"max_{m}" for m in FLOORS], *extra, *["_text"] * carry)
+    for m, v in MEASURES.items():
+        passes = passes & (F.col(f"_b_{m}") <= F.col(f"hi_{m}"))
+        if v[2]:
+            passes = passes & (F.col(f"_b_{m}") >= F.col(f"lo_{m}"))
+    held = [F.pow(F.lit(GAMMA), F.col(f"hi_{m}")).alias(f"max_{m}") for m in MEASURES] + [F.pow(F.lit(GAMMA), F.col(f"lo_{m}") - 1).alias(f"min_{m}") for m, v in MEASURES.items() if v[2]]
+    failed = F.expr(BASE)
+    return joined.select("doc_id", *COUNTS, failed.alias("base_failed"), F.when(failed, False).otherwise(passes).alias("kept"), *held, *outer, *["_text"] * carry)

@@ -1,29 +1,22 @@
 """Vectorised word windows of whole texts (runs inside Arrow-batched workers).
 
 Words are ``[^\\x20\\x09-\\x0D]+``: ``bytes.split()`` splits at exactly those
-bytes.  A window of k words is hashed from the byte range it covers in the
-single-spaced text, by differences of a polynomial prefix sum modulo 2**64,
-so the cost is a few numpy passes over the text whatever k is.
+bytes.  Each word gets a 64-bit hash of its own (XXH3, which is no polynomial);
+a window of k words is hashed by a multilinear form of its words' hashes with
+fixed odd random factors, then mixed, so the cost of windows is a few numpy
+passes over the words.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 U = np.uint64
-BASE = 0x9E3779B97F4A7C15
-_rng = np.random.default_rng(20240229)
-BYTE_VALUE = _rng.integers(1, 2**63 - 1, 256, dtype=np.uint64) * U(2) + U(1)
-_powers = {"n": 0, "up": np.ones(1, U), "down": np.ones(1, U)}
-
-
-def _tables(n: int):
-    if _powers["n"] < n:
-        size = max(1 << 14, 1 << (n - 1).bit_length())
-        up, down = np.full(size, BASE, U), np.full(size, pow(BASE, -1, 2**64), U)
-        up[0] = down[0] = 1
-        _powers.update(n=size, up=np.multiply.accumulate(up), down=np.multiply.accumulate(down))
-    return _powers["up"], _powers["down"]
+_FACTORS = np.random.default_rng(20240229).integers(1, 2**63 - 1, 64, dtype=np.uint64) * U(2) + U(1)
+#: Bytes of text that a worker holds as Python objects at once (one longer text is held alone).
+SLICE_BYTES = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -37,18 +30,17 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def window_hashes(words: list[bytes], k: int = 5) -> np.ndarray:
     """Hash of each window of k words in order; of the whole sequence if it is shorter."""
-    if not words:
+    from xxhash import xxh3_64_digest
+
+    n = len(words)
+    if not n:
         return np.empty(0, U)
-    buf = np.frombuffer(b" ".join(words), np.uint8)
-    up, down = _tables(len(buf))
-    prefix = np.empty(len(buf) + 1, U)
-    prefix[0] = 0
-    np.cumsum(BYTE_VALUE[buf] * up[: len(buf)], out=prefix[1:])
-    gaps = np.flatnonzero(buf == 32)
-    starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(buf)]))
-    k = min(k, len(words))
-    s, e = starts[: len(starts) - k + 1], ends[k - 1 :]
-    return mix((prefix[e] - prefix[s]) * down[s])
+    own = np.frombuffer(b"".join(map(xxh3_64_digest, words)), U)
+    k = min(k, n)
+    total = own[: n - k + 1] * _FACTORS[0]
+    for j in range(1, k):
+        total += own[j : n - k + 1 + j] * _FACTORS[j]
+    return mix(total ^ U(k))
 
 
 def shingle_set(text: bytes | None, k: int = 5) -> np.ndarray:
@@ -63,3 +55,16 @@ def as_bytes(column) -> list[bytes | None]:
     import pyarrow as pa
 
     return column.cast(pa.large_binary()).to_pylist()
+
+
+def slices(batches, column: int = -1, upto: int = SLICE_BYTES) -> Iterator:
+    """Record batches cut so that a piece holds about ``upto`` bytes of the text in ``column``, or one row."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if batch.num_rows:
+            size = pc.fill_null(pc.binary_length(batch.column(column % batch.num_columns)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            piece = (np.cumsum(size) - size) // upto
+            cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield batch.slice(a, b - a)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from weirflow.llm.quality_rules import FLOORS, GAMMA
+from weirflow.llm.quality_rules import GAMMA, LEAST, MEASURES, SLACK
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -40,22 +40,25 @@ b AS (SELECT d.*, g.n, g.target, g.give, coalesce(sum(size) OVER (PARTITION BY d
 SELECT doc_id, size, n AS source_size, CAST(target AS DOUBLE) AS target, CAST(CASE WHEN n = 0 THEN 0 ELSE give // n * size + greatest(0, least(size, give % n - before)) END AS BIGINT) AS taken FROM b
 """
 
-_SHARES = {
-    "symbol_share": "CAST(n_symbols AS DOUBLE) / greatest(word_chars, 1)", "duplicate_share": "CAST(n_dup_lines AS DOUBLE) / greatest(n_lines, 1)",
-    "repeat_share": "CAST(n_repeat_words AS DOUBLE) / greatest(n_words, 1)", "word_length": "CAST(word_chars AS DOUBLE) / greatest(n_words, 1)",
-}
+_BINS = {m: f"CAST(ceil(ln(CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE)) / {math.log(GAMMA)!r}) AS BIGINT)" for m, (a, b, _) in MEASURES.items()}
+_TWO_SIDED = ", ".join(f"'{m}'" for m, v in MEASURES.items() if v[2])
 
 
-def _level(name: str, groups: str, least_rows: int) -> str:
-    """Cut per group and measure from the sketch merged over ``groups``; null under ``least_rows`` rows."""
-    by = f"{groups}, " if groups else ""
-    return f"""{name}_run AS (SELECT {by}measure, bin, sum(n) OVER (PARTITION BY {by}measure) AS total, sum(n) OVER (PARTITION BY {by}measure ORDER BY bin NULLS FIRST) AS upto FROM (SELECT {by}measure, bin, sum(n) AS n FROM sketch GROUP BY {by}measure, bin)),
-{name} AS (SELECT {by}measure, CASE WHEN max(total) >= {least_rows} THEN q50 + 8 * (q75 - q50) END AS cut FROM (SELECT {by}measure, max(total) AS total, min(CASE WHEN upto >= ceil(total * 0.5) THEN mid END) AS q50, min(CASE WHEN upto >= ceil(total * 0.75) THEN mid END) AS q75
-  FROM (SELECT *, CASE WHEN bin IS NULL THEN 0.0 ELSE 2 * pow({GAMMA!r}, bin) / ({GAMMA!r} + 1) END AS mid FROM {name}_run) GROUP BY {by}measure) GROUP BY {by}measure, q50, q75)"""
+def _level(name: str, groups: list[str], parent: str | None) -> str:
+    """Upper and lower bin per group and measure from the sketch merged over ``groups``, pooled with the parent's."""
+    by = "".join(f"{g}, " for g in groups)
+    own = f"""{name}_own AS (SELECT {by}measure, total, q50 + 7 * half AS hi, q50 - 7 * half AS lo FROM (SELECT *, greatest({LEAST}, least(q75 - q50, q50 - q25)) AS half FROM (
+  SELECT {by}measure, max(total) AS total, min(CASE WHEN upto >= ceil(total * 0.25) THEN bin END) AS q25, min(CASE WHEN upto >= ceil(total * 0.5) THEN bin END) AS q50, min(CASE WHEN upto >= ceil(total * 0.75) THEN bin END) AS q75
+  FROM (SELECT {by}measure, bin, sum(n) OVER (PARTITION BY {by}measure) AS total, sum(n) OVER (PARTITION BY {by}measure ORDER BY bin) AS upto FROM (SELECT {by}measure, bin, sum(n) AS n FROM sketch GROUP BY {by}measure, bin)) GROUP BY {by}measure)))"""
+    if parent is None:
+        return f"{own},\n{name} AS (SELECT measure, hi, lo FROM {name}_own)"
+    hi, lo = (f"CAST(floor(CAST(o.total * o.{x} + 50 * p.{x} AS DOUBLE) / (o.total + 50)) AS BIGINT)" for x in ("hi", "lo"))
+    on = "".join(f" AND p.{g} IS NOT DISTINCT FROM o.{g}" for g in groups[:-1])
+    return f"{own},\n{name} AS (SELECT {''.join(f'o.{g}, ' for g in groups)}o.measure, CASE WHEN o.measure IN ({_TWO_SIDED}) THEN {hi} ELSE least({hi}, p.hi + {SLACK}) END AS hi, {lo} AS lo FROM {name}_own o JOIN {parent} p ON p.measure = o.measure{on})"
 
 
-_EXPLODED = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {x} AS v FROM counted" for m, x in _SHARES.items())
-_PASSES = " AND ".join(f"{x} <= greatest({FLOORS[m]!r}, max(cut) FILTER (WHERE measure = '{m}'))" for m, x in _SHARES.items())
+_EXPLODED = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {x} AS bin FROM counted WHERE NOT base_failed" for m, x in _BINS.items())
+_PASSES = " AND ".join(f"{x} <= max(hi) FILTER (WHERE measure = '{m}')" + (f" AND {x} >= max(lo) FILTER (WHERE measure = '{m}')" if MEASURES[m][2] else "") for m, x in _BINS.items())
 
 OP9_SQL = f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce("text", '') AS t FROM documents),
@@ -66,15 +69,13 @@ twice AS (SELECT rid, i, CASE WHEN s IS NOT NULL AND count(*) OVER (PARTITION BY
 cover AS (SELECT rid, max(two) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS c FROM twice),
 rep AS (SELECT rid, CAST(sum(c) AS BIGINT) AS c FROM cover GROUP BY rid),
 ln AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS l FROM d),
-counted AS MATERIALIZED (SELECT d.rid, doc_id, lang, source, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(array_to_string(w.w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(len(l) AS BIGINT) AS n_lines, coalesce(rep.c, 0) AS n_repeat_words FROM d JOIN w USING (rid) JOIN ln USING (rid) LEFT JOIN rep USING (rid)),
-sketch AS MATERIALIZED (SELECT lang, source, measure, CASE WHEN v > 0 THEN CAST(ceil(ln(v) / {math.log(GAMMA)!r}) AS INTEGER) END AS bin, count(*) AS n FROM ({_EXPLODED}) GROUP BY ALL),
-{_level("own", "lang, source", 50)},
-{_level("lang_only", "lang", 50)},
-{_level("every", "", 0)},
-cuts AS (SELECT own.lang, own.source, own.measure, coalesce(own.cut, lang_only.cut, every.cut) AS cut FROM own LEFT JOIN lang_only ON lang_only.lang IS NOT DISTINCT FROM own.lang AND lang_only.measure = own.measure LEFT JOIN every ON every.measure = own.measure)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND {_PASSES} AS kept
-FROM counted JOIN cuts ON cuts.lang IS NOT DISTINCT FROM counted.lang AND cuts.source IS NOT DISTINCT FROM counted.source
-GROUP BY rid, doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words
+counted AS MATERIALIZED (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM (SELECT d.rid, doc_id, lang, source, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(array_to_string(w.w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(len(l) AS BIGINT) AS n_lines, coalesce(rep.c, 0) AS n_repeat_words FROM d JOIN w USING (rid) JOIN ln USING (rid) LEFT JOIN rep USING (rid))),
+sketch AS MATERIALIZED (SELECT lang, source, measure, bin, count(*) AS n FROM ({_EXPLODED}) GROUP BY ALL),
+{_level("every", [], None)},
+{_level("lang_only", ["lang"], "every")},
+{_level("cuts", ["lang", "source"], "lang_only")}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CASE WHEN base_failed THEN false ELSE {_PASSES} END AS kept
+FROM counted LEFT JOIN cuts ON cuts.lang IS NOT DISTINCT FROM counted.lang AND cuts.source IS NOT DISTINCT FROM counted.source
+GROUP BY rid, doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, base_failed
 """
