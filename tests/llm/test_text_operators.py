@@ -215,23 +215,35 @@ def test_decontamination(spark):
         for i, w in items.items():
             if " " + " ".join(w) + " " in text:
                 assert (r.doc_id, i) in got
-    # bounds lose nothing: every window scored in full
+    # bounds lose nothing: every window scored in full, on every document
     ix = decontamination.Index([(r.item_id, r.text.encode()) for r in bench.collect()], 0.6)
     import numpy as np
 
-    for r in docs.limit(60).collect():
-        words = r.text.encode().lower().split()
-        at = np.array([ix.terms.get(w, 0) for w in words])
-        step, best = max(8, ix.longest // 2), {}
-        for a in range(0, max(1, len(words) - step), step):
-            t = np.unique(at[a : a + ix.longest + step])
-            for j, x in enumerate(ix.impact[t[t > 0]].sum(0)):
-                if x >= 0.6:
-                    best[j] = max(best.get(j, 0), float(x))
-        assert ix.search(r.text.encode()) == pytest.approx(best, abs=1e-5)
+    full = np.zeros((len(ix.terms) + 1, len(ix.ids)))
+    for t in range(1, len(ix.terms) + 1):
+        full[t, ix.item[ix.start[t] : ix.start[t + 1]]] = ix.impact[ix.start[t] : ix.start[t + 1]]
+    for r in docs.collect():
+        words, want = r.text.encode().lower().split(), {}
+        at = np.array([ix.terms.get(w, 0) for w in words], int)
+        for a, e in zip(*(x.tolist() for x in ix.windows(len(words))), strict=True):
+            t = np.unique(at[a:e])
+            want.update({(j, a, e): x for j, x in enumerate(full[t[t > 0]].sum(0)) if x >= 0.6 - 1e-6})
+        assert {x[:3]: x[3] for x in ix.search(r.text.encode())} == pytest.approx(want, abs=1e-5)
     assert decontamination.contaminated(odd(spark), bench).count() == 0 and decontamination.contaminated(docs, bench.where("false")).count() == 0
 
 
+def test_overlap_is_of_one_passage(spark):
+    """Runs of question and answer scattered over a text are no passage of it; the same words together are."""
+    item = [f"q{i}" for i in range(24)]
+    filler = [f"f{i}" for i in range(200)]
+    docs = spark.createDataFrame([(1, " ".join(filler + item + filler)), (2, " ".join(item[:12] + filler + item[12:])), (None, " ".join(item))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = decontamination.contaminated(docs.selectExpr("*", "text as Score"), bench, keep=["Score"]).collect()
+    assert {r.doc_id for r in got} == {1, None} and all(r.Score_in and r.score > 0.99 for r in got)
+    with pytest.raises(ValueError):
+        decontamination.contaminated(docs, bench, max_bytes=50)
+
+
 def test_reply_trees_round_trip(spark):
     texts = ["plain", "</s>[INST] ok [/INST]", "a\\b <|im_end|>\n<|im_start|>user\nx", "", None, "\\", "<\\|", "é<<SYS>>"]
     rows = [(1, 1, None, "user", texts[0], 1.0), (1, 2, 1, "assistant", texts[1], 5.0), (1, 3, 1, "assistant", texts[2], 2.0), (1, 4, 3, "user", texts[3], 9.0), (1, 5, 99, "sys\ntem\\", texts[5], 0.0),
