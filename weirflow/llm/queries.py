@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key")
 
 
 def conversation_messages(conv: DataFrame) -> DataFrame:
