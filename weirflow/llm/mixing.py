@@ -16,8 +16,10 @@ flow.  Prefix sums are made over hash blocks; only the one block in which a
 pattern's prefix ends is put in order.
 
 Null texts have size 0 and take nothing; a null source is a source of its own,
-last in order; repeated rows count as documents of their own; an empty table
-gives an empty result.  Reruns agree: order is a hash of seed and id.
+last in order, and a null or empty array of sources is that source; repeated rows
+count as documents of their own; an empty table gives an empty result.  Reruns
+agree: order is a hash of seed and id.  ``keep`` columns whose names are the
+operator's come back with ``_in`` added.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from heapq import heappop, heappush
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirflow.llm.columns import carried
 from weirflow.storage import Scratch
 
 
@@ -114,12 +117,13 @@ def mix(
     ``source_col`` is a string, or an array of the sources a document belongs to; its first in
     code-point order then is the one reported.  Sources weigh ``weights`` in turn, in code-point order, null last.
     """
-    spark, keep = docs.sparkSession, keep or []
-    s = Scratch(spark, "mixing")
+    spark, s = docs.sparkSession, Scratch(docs.sparkSession, "mixing")
+    inner, outer = carried(keep, ["doc_id", "size", "source_size", "target", "taken"])
     is_array = docs.schema[source_col].dataType.typeName() == "array"
-    member = F.array_sort(F.array_distinct(source_col)) if is_array else F.array(F.col(source_col).cast("string"))
+    lone = F.array(F.lit(None).cast("string"))
+    member = F.when(F.size(source_col) > 0, F.array_sort(F.array_distinct(source_col))).otherwise(lone) if is_array else F.array(F.col(source_col).cast("string"))
     seeded = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    sized = s.save(docs.select(F.col(id_col).alias("doc_id"), member.alias("_m"), word_count(F.col(text_col)).alias("size"), seeded.alias("_o"), *keep), "sizes")
+    sized = s.save(docs.select(F.col(id_col).alias("doc_id"), member.alias("_m"), word_count(F.col(text_col)).alias("size"), seeded.alias("_o"), *inner), "sizes")
     rows = sized.groupBy("_m").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(max_patterns + 1).collect()
     if len(rows) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns; merge sources or raise max_patterns")
@@ -155,4 +159,4 @@ def mix(
     partial = inside.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start") - before)))
     outside = joined.where("_eb is null or _b <> _eb").withColumn("part", F.when(F.col("_b") < F.col("_eb"), F.col("size")).otherwise(0))
     both = partial.unionByName(outside)
-    return both.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"), *keep)
+    return both.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"), *outer)

@@ -13,16 +13,19 @@ row's shard and slot then follow from its rank on its arc, found block by block.
 
 A null text counts as empty (size 1, CRC of nothing); a null doc_id is a key
 like any other; repeated rows get slots of their own; an empty table gives an
-empty result.
+empty result.  ``keep`` columns whose names are the operator's come back with
+``_in`` added.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirflow.llm.columns import carried
 from weirflow.storage import Scratch
 
 RING = 1 << 62
@@ -37,6 +40,17 @@ def ring(shards: int, vnodes: int, seed: int) -> list[tuple[int, int]]:
     return sorted(points)
 
 
+def arc_of(h: Column, edges: list[int]) -> Column:
+    """Number of the first edge at or after ``h``, 0 past the last: equal cells of the ring lead to the few edges inside."""
+    bits = max(1, len(edges).bit_length())
+    cell = [e >> (62 - bits) for e in edges]
+    first = [bisect_left(cell, c) for c in range((1 << bits) + 1)]
+    at = F.shiftright(h, 62 - bits).cast("int")
+    start, stop = F.element_at(F.lit(first), at + 1), F.element_at(F.lit(first), at + 2)
+    inside = F.when(stop > start, F.slice(F.lit(edges), start + 1, F.greatest(stop - start, F.lit(1)))).otherwise(F.array().cast("array<long>"))
+    return F.pmod(start + F.size(F.filter(inside, lambda e: e < h)), F.lit(len(edges))).cast("int")
+
+
 def settle(counts: list[int], owners: list[int], bounds: list[int]) -> list[list[tuple[int, int]]]:
     """For each arc in ring order: (shard, number of keys) pieces, its own shard's first.
 
@@ -68,21 +82,15 @@ def shard_rows(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_c
     Without ``keep`` the narrow rows are written once and reread.  With ``keep`` that table would be a copy of
     ``docs``, so ``docs`` itself is read again: it must then be a stored table, or otherwise give the same rows twice.
     """
-    spark, keep = docs.sparkSession, keep or []
-    s = Scratch(spark, "sharding")
+    spark, s = docs.sparkSession, Scratch(docs.sparkSession, "sharding")
+    inner, outer = carried(keep, ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "home_shard"])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     points = ring(shards, vnodes, seed)
     position = F.xxhash64(F.col(id_col), text, F.lit(seed)).bitwiseAND(F.lit(RING - 1))
     sized = docs.select(
-        F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), position.alias("h"), *keep
+        F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), position.alias("h"), *inner
     )
-    edges = np.array([p for p, _ in points], np.int64)
-
-    @F.pandas_udf("int")
-    def arc_of(h: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, h.to_numpy()) % len(edges), dtype="int32")
-
-    rows = sized.withColumn("arc", arc_of("h"))
+    rows = sized.withColumn("arc", arc_of(F.col("h"), [p for p, _ in points]))
     if not keep:
         rows = s.save(rows, "rows")
     total = rows.count()
@@ -108,5 +116,5 @@ def shard_rows(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_c
     placed = ranked.join(F.broadcast(table), (F.col("arc") == F.col("p_arc")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))  # bounded: pieces of shards * vnodes arcs
     home = F.element_at(F.lit([o for _, o in points]), F.col("arc") + 1)
     return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("first_slot") + F.col("rank") - F.col("lo")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), home.alias("home_shard"), *keep
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("first_slot") + F.col("rank") - F.col("lo")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), home.alias("home_shard"), *outer
     )
