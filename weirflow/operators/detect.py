@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import pickle
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.functions.scalars import split_list
+from weirflow.operators.boosting import Options, fit
+from weirflow.operators.ranks import counts_before, quantiles
 from weirflow.schema import CONFOUNDERS
+from weirflow.storage import Scratch
 
 
 def rules_baseline(f: DataFrame) -> DataFrame:
     """account_id, score by fixed rules; thresholds at quantiles of the table."""
-    q = f.agg(F.percentile("fan_in", 0.9).alias("q_fan"), F.percentile("peak_in_val", 0.95).alias("q_peak"))
+    q = quantiles(f, {"q_fan": ("fan_in", 0.9), "q_peak": ("peak_in_val", 0.95)})
     x = f.crossJoin(F.broadcast(q))  # one row
     rules = ((2.0, F.col("p10_dwell") < 15), (2.0, F.col("med_matched_passthru") > 0.75), (1.5, F.col("fan_in") > F.col("q_fan")), (1.5, F.col("peak_in_val") > F.col("q_peak")), (1.0, F.col("age_min_at_first_txn") < 90 * 1440), (1.0, F.col("stranger_in_share") > 0.8))
     score = F.lit(0.0)
@@ -62,8 +67,7 @@ def confounder_share(scores: DataFrame, accounts: DataFrame, k: int) -> DataFram
 
 def auc(values: DataFrame, label: str = "is_mule", value: str = "value") -> DataFrame:
     """Rank-sum AUC and its direction-free form; ties share their mean rank (counted per distinct value)."""
-    g = values.groupBy(value).agg(F.count("*").alias("n"), F.sum(label).alias("pos"))
-    g = g.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    g = counts_before(values.withColumnRenamed(label, "pos"), value, ("pos",))
     s = g.agg(F.sum(F.col("pos") * (F.col("before") + (F.col("n") + 1) / 2)).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     a = F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p")))
     return s.select(a.alias("auc"), F.greatest(a, 1 - a).alias("auc_free"))
@@ -78,8 +82,8 @@ def leaderboard(scores: DataFrame, accounts: DataFrame, k: int) -> DataFrame:
     return g.join(nets, "detector", "left").crossJoin(F.broadcast(mules)).select("detector", "precision_at_k", (F.col("hits") / F.col("m")).alias("recall_at_k"), F.coalesce("mule_networks_hit", F.lit(0)).alias("mule_networks_hit"), "false_alerts_on_confounders")  # one row
 
 
-def isolation_scores(f: DataFrame, cols: list[str], trees: int = 100, sample: int = 256, seed: int = 0) -> DataFrame:
-    """account_id, score in (0, 1]: trees grown on the driver from bounded samples, rows scored in Arrow batches."""
+def isolation_scores(f: DataFrame, cols: list[str], trees: int = 400, sample: int = 256, seed: int = 0) -> DataFrame:
+    """account_id, score in (0, 1]: trees grown on the driver from samples of at most trees * sample rows, all rows scored in Arrow batches."""
     import numpy as np
     import pandas as pd
 
@@ -130,23 +134,47 @@ def unsupervised_score(f: DataFrame, cols: list[str], prior: dict[str, float]) -
     return z(x, {"iso": 0.5, "prior": 0.5})
 
 
-def gbm_out_of_fold(f: DataFrame, cols: list[str], folds: int = 5, rounds: int = 20, seed: int = 0):
-    """account_id, score: each account scored by boosted trees that did not see it, classes weighted; importances by column."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    # stratified folds by hash: no global sort
-    x = f.withColumn("fold", F.pmod(F.xxhash64("account_id", F.lit(seed)), F.lit(folds)).cast("int"))
-    x = VectorAssembler(inputCols=cols, outputCol="x").transform(x).select("account_id", "x", F.col("is_mule").cast("double").alias("y"), "fold").cache()
-    n = x.groupBy("y").count().collect()
-    count = {r.y: r["count"] for r in n}
-    weight = count.get(0.0, 1) / max(count.get(1.0, 0), 1)
-    x = x.withColumn("w", F.when(F.col("y") == 1, weight).otherwise(1.0))
-    out, importance = None, [0.0] * len(cols)
-    for k in range(folds):
-        m = GBTClassifier(featuresCol="x", labelCol="y", weightCol="w", maxIter=rounds, stepSize=0.1, maxDepth=4, seed=seed).fit(x.where(F.col("fold") != k))
-        importance = [a + b / folds for a, b in zip(importance, m.featureImportances.toArray().tolist(), strict=True)]
-        part = m.transform(x.where(F.col("fold") == k)).select("account_id", vector_to_array("probability")[1].alias("score"))
+def stratified_folds(f: DataFrame, folds: int, seed: int) -> DataFrame:
+    """account_id, fold: within each label the accounts are dealt in turn, in order of a hash."""
+    x = f.select("account_id", "is_mule", F.xxhash64("account_id", F.lit(seed)).alias("h"))
+    out = None
+    for label in (0, 1):
+        one = x.where(F.col("is_mule") == label)
+        part = one.join(counts_before(one, "h").select(F.col("value").alias("h"), "before"), "h").select("account_id", F.pmod("before", F.lit(folds)).cast("int").alias("fold"))
         out = part if out is None else out.unionByName(part)
-    return out, dict(zip(cols, importance, strict=True))
+    return out
+
+
+def gbm_out_of_fold(f: DataFrame, cols: list[str], folds: int = 5, options: Options = Options(), seed: int = 0, max_rows: int = 200_000):
+    """account_id, score: each account scored by boosted trees that did not see it, classes weighted; importances by column.
+
+    A fold's trees are fitted in one task, all folds at once, on at most ``max_rows`` accounts (smallest hashes);
+    every account is scored.
+    """
+    import numpy as np
+    import pandas as pd
+
+    s = Scratch(f.sparkSession, "gbm")
+    x = s.save(f.join(stratified_folds(f, folds, seed), "account_id").select("account_id", "is_mule", "fold", *[F.col(c).cast("double") for c in cols]), "rows")
+    some = x.orderBy(F.xxhash64("account_id", F.lit(seed)), "account_id").limit(max_rows)
+    train = some.withColumn("left_out", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("left_out <> fold")
+
+    def learn(pdf):
+        pdf = pdf.sort_values("account_id")
+        m = fit(pdf[cols].fillna(0.0).to_numpy(float), pdf.is_mule.to_numpy(float), options, seed)
+        return pd.DataFrame({"fold": [int(pdf.left_out.iloc[0])], "model": [pickle.dumps(m)]})
+
+    models = {r.fold: pickle.loads(bytes(r.model)) for r in train.groupBy("left_out").applyInPandas(learn, "fold int, model binary").collect()}  # one per fold
+    shared = f.sparkSession.sparkContext.broadcast(models)  # bounded by rounds and leaves
+    total = sum(m.gains.sum() for m in models.values()) or 1.0
+    importance = {c: float(sum(m.gains[j] for m in models.values()) / total) for j, c in enumerate(cols)}
+
+    def score(it):
+        for pdf in it:
+            v, out = pdf[cols].fillna(0.0).to_numpy(float), np.zeros(len(pdf))
+            for k, m in shared.value.items():
+                at = np.flatnonzero(pdf.fold.to_numpy() == k)
+                out[at] = m.score(v[at])
+            yield pd.DataFrame({"account_id": pdf.account_id, "score": out})
+
+    return x.mapInPandas(score, "account_id long, score double"), importance

@@ -30,11 +30,10 @@ def k_core(e: DataFrame) -> DataFrame:
     left = s.save(e.select("a", "b").distinct(), "edges")
     parts, k = [], 1
     while not left.isEmpty():
-        deg = left.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
+        deg = s.save(left.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count(), "degrees")
+        k = max(k, deg.agg(F.min("count")).first()[0] + 1)  # no node goes before the smallest degree is passed
         low = s.save(deg.where(F.col("count") < k).select("node"), "low")
-        if low.isEmpty():
-            k += 1
-            continue
+        s.drop(deg)
         keep = left.join(low.withColumnRenamed("node", "a"), "a", "left_anti").join(low.withColumnRenamed("node", "b"), "b", "left_anti")
         after = s.save(keep, "edges")
         # nodes that vanish with their last edge have the same core number as those peeled
@@ -48,7 +47,7 @@ def k_core(e: DataFrame) -> DataFrame:
     return out
 
 
-def time_respecting_distance(e: DataFrame, seeds: DataFrame, max_levels: int = 100) -> DataFrame:
+def time_respecting_distance(e: DataFrame, seeds: DataFrame) -> DataFrame:
     """node, distance to the nearest seed along edges (sender, receiver, t_first) of non-decreasing first times.
 
     Breadth first from every seed at once; a node keeps the earliest arrival of its first level.
@@ -58,7 +57,7 @@ def time_respecting_distance(e: DataFrame, seeds: DataFrame, max_levels: int = 1
     nodes = edges.select(F.explode(F.array("sender", "receiver")).alias("node")).distinct()
     seen = s.save(seeds.select(F.col("account_id").alias("node")).join(nodes, "node", "left_semi").select(F.col("node").alias("seed"), "node", F.lit(-1).cast("long").alias("t"), F.lit(0).alias("d")), "seen")
     front, level = seen, 0
-    while not front.isEmpty() and level < max_levels:
+    while not front.isEmpty():
         level += 1
         step = front.join(edges, F.col("node") == F.col("sender")).where("t_first >= t").groupBy("seed", F.col("receiver").alias("node")).agg(F.min("t_first").alias("t"))
         front = s.save(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("d", F.lit(level)).select("seed", "node", "t", "d"), "front")

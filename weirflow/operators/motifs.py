@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weirflow.operators.components import connected_components
 from weirflow.schema import Params
+from weirflow.storage import Scratch
 
 
 def degrees(e: DataFrame) -> DataFrame:
@@ -58,9 +59,41 @@ def bursts(e: DataFrame, gap: int) -> DataFrame:
     return x.withColumn("part", F.sum("new").over(Window.partitionBy("component").orderBy("minute", "txn_id").rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def depth_states(e: DataFrame, p: Params = Params()) -> DataFrame:
-    """txn_id, node (receiver), minute, depth after each edge, in (minute, txn_id) order; one group per component and burst."""
-    gap = p.chain_gap
+def _depth_by_levels(e: DataFrame, gap: int) -> DataFrame:
+    """txn_id, node, minute, depth without a task per component, in as many rounds as the longest chain has steps.
+
+    A receiver's depth after an edge is the largest reach so far in its session (receipts no further apart than the
+    gap), and an edge's reach is one more than its sender's depth at the sender's last receipt within the gap.  Neither
+    sessions nor last receipts depend on depths, so depths grow from one to their fixpoint by one join a round.
+    """
+    s = Scratch(e.sparkSession, "depth")
+    order = Window.partitionBy("node").orderBy("minute", "txn_id")
+    new = F.coalesce((F.col("minute") - F.lag("minute").over(order) > gap).cast("int"), F.lit(0))
+    got = e.select("txn_id", F.col("v").alias("node"), "u", "minute").withColumn("new", new).withColumn("session", F.sum("new").over(order))
+    line = got.select("node", "minute", "txn_id", F.col("txn_id").alias("got")).unionByName(e.select(F.col("u").alias("node"), "minute", "txn_id", F.lit(None).cast("long").alias("got")))
+    upto = order.rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("got").isNotNull(), F.struct("minute", "got")), True).over(upto)
+    before = line.withColumn("last", last).where(F.col("got").isNull() & (F.col("minute") - F.col("last.minute") <= gap)).select("txn_id", F.col("last.got").alias("before"))
+    events = s.save(got.select("txn_id", "node", "session", "minute").join(before, "txn_id", "left"), "events")
+    running = Window.partitionBy("node", "session").orderBy("minute", "txn_id").rowsBetween(Window.unboundedPreceding, 0)
+    state, total = s.save(events.withColumn("depth", F.lit(1).cast("long")), "state"), None
+    while True:
+        above = state.select(F.col("txn_id").alias("before"), F.col("depth").alias("up"))
+        reach = state.drop("depth").join(above, "before", "left").withColumn("reach", F.coalesce(F.col("up") + 1, F.lit(1)))
+        after = s.save(reach.withColumn("depth", F.max("reach").over(running)).select(*state.columns), "state")
+        now = after.agg(F.sum("depth")).first()[0]
+        s.drop(state)
+        if now == total:
+            return after.select("txn_id", "node", "minute", "depth")
+        state, total = after, now
+
+
+def depth_states(e: DataFrame, p: Params = Params(), largest: int = 200_000) -> DataFrame:
+    """txn_id, node (receiver), minute, depth after each edge, in (minute, txn_id) order.
+
+    One task per component and burst of up to ``largest`` edges; larger ones go level by level.
+    """
+    gap, s = p.chain_gap, Scratch(e.sparkSession, "depth-states")
 
     def run(pdf):
         import pandas as pd
@@ -75,7 +108,10 @@ def depth_states(e: DataFrame, p: Params = Params()) -> DataFrame:
             out.append((i, v, t, depth[v]))
         return pd.DataFrame(out, columns=["txn_id", "node", "minute", "depth"])
 
-    return bursts(e, gap).select("component", "part", "txn_id", "u", "v", "minute").groupBy("component", "part").applyInPandas(run, "txn_id long, node long, minute long, depth long")
+    parts = s.save(bursts(e, gap).select("component", "part", "txn_id", "u", "v", "minute"), "bursts")
+    big = s.save(parts.groupBy("component", "part").count().where(F.col("count") > largest).select("component", "part"), "big")
+    small = parts.join(big, ["component", "part"], "left_anti").groupBy("component", "part").applyInPandas(run, "txn_id long, node long, minute long, depth long")
+    return small if big.isEmpty() else small.unionByName(_depth_by_levels(parts.join(big, ["component", "part"], "left_semi"), gap))
 
 
 def chain_depth(e: DataFrame, p: Params = Params()) -> DataFrame:

@@ -49,7 +49,7 @@ CTES = {
     "rules": """SELECT account_id, is_mule, account_type, mule_network_id, 2.0 * CAST(p10_dwell < 15 AS INTEGER) + 2.0 * CAST(med_matched_passthru > 0.75 AS INTEGER) + 1.5 * CAST(fan_in > (SELECT quantile_cont(fan_in, 0.9) FROM feat) AS INTEGER)
       + 1.5 * CAST(peak_in_val > (SELECT quantile_cont(peak_in_val, 0.95) FROM feat) AS INTEGER) + 1.0 * CAST(age_min_at_first_txn < 129600 AS INTEGER) + 1.0 * CAST(stranger_in_share > 0.8 AS INTEGER) AS score FROM feat""",
     "top": "SELECT * FROM rules ORDER BY score DESC, account_id LIMIT {k}",
-    "tiered": "SELECT *, CASE WHEN score > 5 THEN 'freeze' WHEN score > 4 THEN 'hold' WHEN score > 3 THEN 'throttle' ELSE 'none' END AS tier FROM rules",
+    "tiered": "SELECT *, CASE WHEN score > 2 THEN 'freeze' WHEN score > 1.2 THEN 'hold' WHEN score > 0.5 THEN 'throttle' ELSE 'none' END AS tier FROM rules",
     "ctab": """SELECT community, count(*) AS size, median(p10_dwell) AS dwell, avg(reciprocity) AS recip, max(device_shared_by) AS device, avg(fast_flowthru_n) AS flowthru, avg(med_matched_passthru) AS passthru, CAST(median(age_min_at_first_txn) AS DOUBLE) AS age,
       CAST(sum(peak_in_val) AS BIGINT) AS peak_val FROM feat JOIN comp ON node = account_id GROUP BY community HAVING count(*) BETWEEN 4 AND 200""",
     "pct": """SELECT feat.*, (rank() OVER (ORDER BY p10_dwell) - 1) / CAST(count(*) OVER () AS DOUBLE) AS q1, (rank() OVER (ORDER BY fast_flowthru_n) - 1) / CAST(count(*) OVER () AS DOUBLE) AS q2, (rank() OVER (ORDER BY reciprocity) - 1) / CAST(count(*) OVER () AS DOUBLE) AS q3,
