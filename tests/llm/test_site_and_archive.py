@@ -58,9 +58,9 @@ def plain_revisits(rows, keys):
         if r[4] is not None and x[4] is not None:
             same = r[4].removeprefix("W/") == x[4].removeprefix("W/")
         else:
-            same = r[5] is None or x[5] is None or r[5] == x[5]
+            same = None if r[5] is None or x[5] is None else r[5] == x[5]
         head = {**{k.lower(): v for k, v in (x[6] or {}).items()}, **{k.lower(): v for k, v in (r[6] or {}).items() if k.lower() in revisits.PERMITTED}}
-        out[r[0]] = ("resolved", x[0], head) if same else ("validator_mismatch", None, None)
+        out[r[0]] = ("validator_mismatch", None, None) if same is False else ("resolved" if same else "unvalidated", x[0], head)
     return out
 
 
@@ -76,7 +76,7 @@ def test_revisits_equal_plain_search(spark, blocks):
     want = plain_revisits(rows, keys)
     got = {r.record_id: (r.outcome, r.response_id, r.headers) for r in revisits.resolve_revisits(df, blocks).collect()}
     assert got == want
-    assert {x[0] for x in want.values()} == {"resolved", "no_response", "validator_mismatch"}
+    assert {x[0] for x in want.values()} == {"resolved", "unvalidated", "no_response", "validator_mismatch"}
 
 
 def test_revisits_of_an_empty_table(spark):

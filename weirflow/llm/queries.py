@@ -64,12 +64,13 @@ FROM e GROUP BY conv_id
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
-    def count(kind):
-        return F.size(F.filter("base", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
+    def count(spans, kind):
+        return F.size(F.filter(spans, lambda x: x.kind == kind)).cast("long")
 
-    n = [count(k) for k in pii.KINDS]
+    n = [count("base", k).alias(f"n_{k}") for k in pii.BASE_KINDS]
     return got.select(
         "doc_id", *n, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.concat("base", "added")).alias("spans"),
+        count("added", "secret").alias("n_secret"), F.size("added").cast("long").alias("n_added"), (F.size("base") + F.size("added") > 0).alias("has_pii"),
     )
 
 
@@ -113,26 +114,33 @@ def page_records(pages: DataFrame) -> DataFrame:
 
 def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = revisits.resolve_revisits(page_records(table(spark, sf_dir, "pages").select(F.col("page_id").cast("long"), "url", "html")))
-    # resolved by the whole key; shown is its part before the query
-    return got.select("record_id", F.regexp_replace("url_key", r"\?.*$", "").alias("url_key"), "ts", "outcome", "response_id", "response_ts", "digest", "length", F.col("headers")["cache-control"].alias("cache_control"), F.col("headers")["content-type"].alias("content_type"), F.col("headers")["content-length"].alias("content_length"))
+    return got.select("record_id", "url_key", "ts", "outcome", "response_id", "response_ts", "digest", "length", F.col("headers")["cache-control"].alias("cache_control"), F.col("headers")["content-type"].alias("content_type"), F.col("headers")["content-length"].alias("content_length"))
 
 
-OP7_SQL = """
+def _url_key(url: str) -> str:
+    page = f"regexp_replace(regexp_replace(regexp_replace(trim({url}), '#.*$', ''), '\\?.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '')"
+    host = f"regexp_replace(regexp_replace(lower(regexp_extract({page}, '^([^/]*)', 1)), '^www[0-9]*\\.', ''), ':(80|443)$', '')"
+    path = f"regexp_replace(regexp_extract({page}, '^[^/]*(.*)$', 1), '/+$', '')"
+    query = f"list_sort(list_filter(string_split(regexp_extract(regexp_replace(trim({url}), '#.*$', ''), '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{revisits.TRACKING}')))"
+    return f"{host} || {path} || CASE WHEN len({query}) > 0 THEN '?' || array_to_string({query}, '&') ELSE '' END"
+
+
+OP7_SQL = f"""
 WITH p AS (SELECT page_id, url, html, md5(html) AS tag, page_id % 5 = 0 AS dated, 'day ' || CAST(page_id % 28 AS VARCHAR) AS d,
-  (CASE WHEN url LIKE 'https:%' THEN 'http:' ELSE 'https:' END) || regexp_replace(regexp_replace(url, '^https?:', ''), '[?#].*$', '') || '/' AS other FROM pages),
+  (CASE WHEN url LIKE 'https:%' THEN 'http:' ELSE 'https:' END) || regexp_replace(regexp_replace(url, '^https?:', ''), '[?#].*$', '') || '/' || regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1) AS other FROM pages),
 f AS (SELECT page_id * 4 AS record_id, url, page_id * 10 AS ts, CASE WHEN NOT dated THEN tag END AS etag, CASE WHEN dated THEN d END AS lm, tag AS digest, octet_length(encode(html)) AS length FROM p),
 v AS (SELECT page_id * 4 + o AS record_id, other AS url, page_id * 10 + s AS ts, CASE WHEN page_id % 7 = 0 THEN 'other' ELSE tag END AS etag, CASE WHEN dated THEN d END AS lm
   FROM p, (VALUES (1, 5, 1), (2, 1000003, 2), (3, -5, 3)) AS x(o, s, m) WHERE page_id % m = 0),
-fk AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.-]*://', ''), '[?#].*$', ''), '^www[0-9]*\\.', ''), '^([^/:]*):(80|443)(/|$)', '\\1\\3'), '/+$', '') AS k FROM f),
-vk AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.-]*://', ''), '[?#].*$', ''), '^www[0-9]*\\.', ''), '^([^/:]*):(80|443)(/|$)', '\\1\\3'), '/+$', '') AS k FROM v),
+fk AS (SELECT *, {_url_key("url")} AS k FROM f), vk AS (SELECT *, {_url_key("url")} AS k FROM v),
 j AS (SELECT vk.record_id, vk.k AS url_key, vk.ts, fk.record_id AS rid, fk.ts AS rts, fk.digest, fk.length,
-  CASE WHEN fk.record_id IS NULL THEN 'no_response'
-       WHEN (CASE WHEN vk.etag IS NOT NULL AND fk.etag IS NOT NULL THEN vk.etag = fk.etag WHEN vk.lm IS NOT NULL AND fk.lm IS NOT NULL THEN vk.lm = fk.lm ELSE true END) THEN 'resolved' ELSE 'validator_mismatch' END AS outcome
-  FROM vk ASOF LEFT JOIN fk ON vk.k = fk.k AND vk.ts > fk.ts)
-SELECT record_id, url_key, ts, outcome, CASE WHEN outcome = 'resolved' THEN rid END AS response_id, CASE WHEN outcome = 'resolved' THEN rts END AS response_ts, CASE WHEN outcome = 'resolved' THEN digest END AS digest,
-  CASE WHEN outcome = 'resolved' THEN length END AS length, CASE WHEN outcome = 'resolved' THEN 'max-age=0' END AS cache_control, CASE WHEN outcome = 'resolved' THEN 'text/html' END AS content_type, CAST(NULL AS VARCHAR) AS content_length
-FROM j
-""".replace("\\\\", "\\")
+  CASE WHEN fk.record_id IS NULL THEN 'no_response' WHEN vk.etag IS NOT NULL AND fk.etag IS NOT NULL THEN CASE WHEN vk.etag = fk.etag THEN 'resolved' ELSE 'validator_mismatch' END
+       WHEN vk.lm IS NOT NULL AND fk.lm IS NOT NULL THEN CASE WHEN vk.lm = fk.lm THEN 'resolved' ELSE 'validator_mismatch' END ELSE 'unvalidated' END AS outcome
+  FROM vk ASOF LEFT JOIN fk ON vk.k = fk.k AND vk.ts > fk.ts),
+r AS (SELECT *, outcome IN ('resolved', 'unvalidated') AS ok FROM j)
+SELECT record_id, url_key, ts, outcome, CASE WHEN ok THEN rid END AS response_id, CASE WHEN ok THEN rts END AS response_ts, CASE WHEN ok THEN digest END AS digest,
+  CASE WHEN ok THEN length END AS length, CASE WHEN ok THEN 'max-age=0' END AS cache_control, CASE WHEN ok THEN 'text/html' END AS content_type, CAST(NULL AS VARCHAR) AS content_length
+FROM r
+"""
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

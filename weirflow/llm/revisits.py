@@ -2,8 +2,9 @@
 
 A revisit takes the latest strictly earlier full response of its URL.  If a
 validator (ETag, or Last-Modified where no ETag is given on both sides)
-disagrees the revisit stays unresolved; otherwise its headers are merged over the
-stored ones where HTTP permits it.
+disagrees the revisit stays unresolved; where no validator is given on both
+sides there is nothing to check, and it is resolved as ``unvalidated``.  Resolved
+either way, its headers are merged over the stored ones where HTTP permits it.
 
 The as-of search is a range-frame window per URL and block of time, followed by
 a window over one row per block, so a URL with a third of all records is spread
@@ -11,7 +12,9 @@ over ``blocks`` tasks and its records are never in one.
 
 Null URLs resolve to nothing; of responses with the same time the largest
 record id holds; null times sort before all; repeated records count each;
-empty input gives an empty result; headers are compared by lower-cased name.
+empty input gives an empty result; extra columns are ignored.  Header names are
+compared in lower case, and values of a field that comes several times under
+names of different case are joined by a comma in the order of their names.
 """
 
 from __future__ import annotations
@@ -27,24 +30,30 @@ TRACKING = r"^(?i:utm_[a-z_]+|gclid|fbclid|msclkid|dclid|mc_cid|mc_eid)(=|$)"
 
 
 def canonical_url(url: Column) -> Column:
-    """Host and path in lower case without scheme, www., default port, fragment and final slash; of the query the sorted parameters, as written, but for those that only track."""
+    """Host in lower case without scheme, www. and default port; path as written without final slash; of the query the sorted parameters, as written, but for those that only track; no fragment."""
     u = F.regexp_replace(F.trim(url), r"#.*$", "")
-    page = F.regexp_replace(F.lower(F.regexp_replace(u, r"\?.*$", "")), r"^[a-z][a-z0-9+.-]*://", "")
-    page = F.regexp_replace(page, r"^www[0-9]*\.", "")
-    page = F.regexp_replace(page, r"^([^/:]*):(80|443)(/|$)", "$1$3")
-    page = F.regexp_replace(page, r"/+$", "")
+    page = F.regexp_replace(F.regexp_replace(u, r"\?.*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(page, r"^([^/]*)", 1)), r"^www[0-9]*\.", ""), r":(80|443)$", "")
+    path = F.regexp_replace(F.regexp_extract(page, r"^[^/]*(.*)$", 1), r"/+$", "")
     query = F.array_sort(F.filter(F.split(F.regexp_extract(u, r"\?(.*)$", 1), "&"), lambda x: (x != "") & ~x.rlike(TRACKING)))
-    return F.concat(page, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(""))
+    return F.concat(host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(""))
+
+
+def lower_names(headers: Column) -> Column:
+    """The map with names in lower case; of names that then are equal, the values joined by a comma."""
+    entries = F.array_sort(F.map_entries(F.coalesce(headers, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))))
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+    values = F.transform(names, lambda n: F.array_join(F.transform(F.filter(entries, lambda e: F.lower(e["key"]) == n), lambda e: e["value"]), ", "))
+    return F.map_from_arrays(names, values)
 
 
 def resolve_revisits(records: DataFrame, blocks: int = 64) -> DataFrame:
     """records (record_id, url, ts long, kind, etag, last_modified, headers map, digest, length) to revisits.
 
-    ``kind`` is ``response`` or ``revisit``.  Result: record_id, url_key, ts, outcome (``resolved``,
+    ``kind`` is ``response`` or ``revisit``.  Result: record_id, url_key, ts, outcome (``resolved``, ``unvalidated``,
     ``no_response`` or ``validator_mismatch``), response_id, response_ts, digest, length, headers.
     """
-    named = F.map_from_entries(F.array_sort(F.transform(F.map_entries(F.coalesce("headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))))
-    r = records.select("record_id", canonical_url(F.col("url")).alias("url_key"), F.coalesce("ts", F.lit(-(2**62))).alias("t"), "ts", "kind", "etag", "last_modified", named.alias("headers"), "digest", "length")
+    r = records.select("record_id", canonical_url(F.col("url")).alias("url_key"), F.coalesce("ts", F.lit(-(2**62))).alias("t"), "ts", "kind", "etag", "last_modified", lower_names(F.col("headers")).alias("headers"), "digest", "length")
     span = r.where("ts is not null").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
     width = max(1, -(-((span.hi or 0) - (span.lo or 0) + 1) // blocks)) if span.lo is not None else 1
     r = r.withColumn("block", F.floor((F.col("t") - F.lit(span.lo or 0)) / F.lit(width)).cast("long"))
@@ -59,10 +68,10 @@ def resolve_revisits(records: DataFrame, blocks: int = 64) -> DataFrame:
     v = near.where("kind = 'revisit'").join(earlier, (F.col("url_key") == F.col("_u")) & (F.col("block") == F.col("_b")), "left").withColumn("resp", F.coalesce("inside", "before"))
     both_tags = F.col("etag").isNotNull() & F.col("resp.etag").isNotNull()
     both_dates = F.col("last_modified").isNotNull() & F.col("resp.last_modified").isNotNull()
-    agrees = F.when(both_tags, F.regexp_replace("etag", "^W/", "") == F.regexp_replace("resp.etag", "^W/", "")).when(both_dates, F.col("last_modified") == F.col("resp.last_modified")).otherwise(True)
-    outcome = F.when(F.col("resp").isNull() | F.col("url_key").isNull(), "no_response").when(~agrees, "validator_mismatch").otherwise("resolved")
+    agrees = F.when(both_tags, F.regexp_replace("etag", "^W/", "") == F.regexp_replace("resp.etag", "^W/", "")).when(both_dates, F.col("last_modified") == F.col("resp.last_modified"))
+    outcome = F.when(F.col("resp").isNull() | F.col("url_key").isNull(), "no_response").when(agrees.isNull(), "unvalidated").when(~agrees, "validator_mismatch").otherwise("resolved")
     v = v.withColumn("outcome", outcome)
-    ok = F.col("outcome") == "resolved"
+    ok = F.col("outcome").isin("resolved", "unvalidated")
     stored = F.from_json("resp.h", "map<string,string>")
     fresh = F.map_filter("headers", lambda k, _: k.isin(*PERMITTED))
     merged = F.map_concat(F.map_filter(stored, lambda k, _: ~F.map_contains_key(fresh, k)), fresh)
