@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirflow.schema import ACCOUNTS, TRANSFERS
@@ -125,6 +125,8 @@ def simulate(spark: SparkSession, cfg: Config = Config()) -> tuple[DataFrame, Da
     accounts = acc.unionByName(spark.createDataFrame(rows, ACCOUNTS))
     cols = "sender long, receiver long, amount long, minute long, channel string"
     tx = ordinary_transfers(acc, cfg, total).unionByName(spark.createDataFrame(moves, cols)).where(F.col("minute").between(0, cfg.days * DAY - 1) & (F.col("sender") != F.col("receiver")) & (F.col("amount") > 0))
-    # ids from the row's content: no global numbering; repeated contents are told apart by the minute's order
-    tx = tx.select(F.xxhash64("sender", "receiver", "minute", "amount", "channel").alias("txn_id"), "minute", "sender", "receiver", "amount", "channel").dropDuplicates(["txn_id"])
+    # ids from the row's content, no global numbering; transfers of equal content are told apart by their number among them
+    content = ["sender", "receiver", "minute", "amount", "channel"]
+    same = F.row_number().over(Window.partitionBy(*content).orderBy("channel"))
+    tx = tx.withColumn("same", same).select(F.xxhash64(*content, "same").alias("txn_id"), *content)
     return tx.select(*[f.name for f in TRANSFERS]), accounts.select(*[f.name for f in ACCOUNTS])
