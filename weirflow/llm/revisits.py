@@ -41,10 +41,11 @@ def canonical_url(url: Column) -> Column:
 
 def lower_names(headers: Column) -> Column:
     """The map with names in lower case; of names that then are equal, the values joined by a comma."""
-    entries = F.array_sort(F.map_entries(F.coalesce(headers, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))))
-    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+    held = F.coalesce(headers, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    lower = F.transform(F.map_keys(held), lambda k: F.lower(k))
+    entries, names = F.array_sort(F.map_entries(held)), F.array_sort(F.array_distinct(lower))
     values = F.transform(names, lambda n: F.array_join(F.transform(F.filter(entries, lambda e: F.lower(e["key"]) == n), lambda e: e["value"]), ", "))
-    return F.map_from_arrays(names, values)
+    return F.when(F.size(names) == F.size(lower), F.map_from_arrays(lower, F.map_values(held))).otherwise(F.map_from_arrays(names, values))
 
 
 def resolve_revisits(records: DataFrame, blocks: int = 64) -> DataFrame:
