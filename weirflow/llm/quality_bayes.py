@@ -10,6 +10,11 @@ lie from the global ones, damped by ``site_weight``.
 The model is fitted on at most ``sample`` labelled documents (smallest hashes of
 their ids); everything else covers all rows.  Groups are summed by partial
 aggregation, so a site with a third of all rows costs no more than another.
+Posteriors reach the rows by a broadcast of all paths where they are few; else
+paths that hold a thousandth of all rows or more (at most a thousand paths) are
+broadcast and the others joined by their keys.  Host and path come from a URL
+column where there is one; ``documents`` has none, so its query takes sources and
+languages.
 Null texts have zero measures; null hosts and paths are groups of their own;
 without labels of both classes the evidence is the global prior 0.5.
 """
@@ -22,6 +27,8 @@ from pyspark.sql import functions as F
 from weirflow.storage import Scratch
 
 FEATURES = ("symbols", "bars", "shouts", "capitals", "digits", "word_length", "lines", "length")
+#: Paths with one part in so many of all rows are broadcast, so at most that many.
+HOT_SHARE = 1000
 SYMBOLS, CAPITALS, DIGITS = "#*$%&<>", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 
@@ -43,6 +50,13 @@ def measures(text: Column) -> dict[str, Column]:
     }
 
 
+def site(url: Column) -> tuple[Column, Column]:
+    """Host in lower case without www. and port, and the first folder of the path (empty at the root), of a URL."""
+    page = F.regexp_replace(F.regexp_replace(F.trim(url), r"[?#].*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(page, r"^([^/]*)", 1)), r"^www[0-9]*\.", ""), r":[0-9]+$", "")
+    return host, F.regexp_extract(page, r"^[^/]*/+([^/]+)/", 1)
+
+
 def train(labelled: DataFrame, sample: int, label: str = "quality") -> tuple[list[float], float]:
     """Coefficients by FEATURES and intercept; zeros if one class is missing."""
     from pyspark.ml.classification import LogisticRegression
@@ -63,10 +77,11 @@ def _strength(mean: float, var: float, n: float) -> float:
     return max(1.0, min(1e6, within / between - 1))
 
 
-def quality_posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", sample: int = 20_000, site_weight: float = 0.5, keep_from: float = 0.3) -> DataFrame:
-    """doc_id, evidence, host_posterior, path_posterior, posterior, kept for each row of docs."""
+def quality_posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", sample: int = 20_000, site_weight: float = 0.5, keep_from: float = 0.3, url_col: str | None = None, broadcast_paths: int = 250_000) -> DataFrame:
+    """doc_id, evidence, host_posterior, path_posterior, posterior, kept for each row of docs; with ``url_col``, host and path are those of the URL."""
+    host, path = site(F.col(url_col)) if url_col else (F.col(host_col).cast("string"), F.col(path_col).cast("string"))
     s = Scratch(docs.sparkSession, "quality-bayes")
-    m = s.save(docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), *[v.alias(k) for k, v in measures(F.col(text_col)).items()]), "measures")
+    m = s.save(docs.select(F.col(id_col).alias("doc_id"), host.alias("host"), path.alias("path"), *[v.alias(k) for k, v in measures(F.col(text_col)).items()]), "measures")
     one = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     w, b = train(m.join(one, "doc_id"), sample)
     z = F.lit(b)
@@ -85,8 +100,14 @@ def quality_posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     post_host = hosts.select(F.col("host").alias("_h"), ((F.lit(mean * k_host) + F.col("s")) / (k_host + F.col("n"))).alias("host_posterior"))
     within = s.save(paths.join(post_host, F.col("host").eqNullSafe(F.col("_h"))), "within")
     _, k_path = moments(within, F.col("s") / F.col("n") - F.col("host_posterior") + mean)
-    posts = within.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "host_posterior", ((F.col("host_posterior") * k_path + F.col("s")) / (k_path + F.col("n"))).alias("path_posterior"))
-    joined = p.join(posts, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")))
+    posts = within.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "host_posterior", ((F.col("host_posterior") * k_path + F.col("s")) / (k_path + F.col("n"))).alias("path_posterior"), "n")
+    same = F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p"))
+    if paths.count() <= broadcast_paths:
+        joined = p.join(F.broadcast(posts), same)
+    else:
+        hot = F.col("n") * HOT_SHARE >= m.count()
+        large = F.broadcast(posts.where(hot))
+        joined = p.join(large, same).unionByName(p.join(large, same, "left_anti").join(posts.where(~hot), same))
 
     def logit(c):
         c = F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
