@@ -1,4 +1,4 @@
-"""Each query with SQL against DuckDB, order-insensitively; the others for rows."""
+"""Each query with SQL against DuckDB, order-insensitively; the others for rows at all (their values are in the brute-force tests)."""
 
 import math
 from decimal import Decimal
@@ -40,4 +40,4 @@ def test_oracle(spark, db, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_rows(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+    assert QUERIES[name](spark, SF).count() > 0

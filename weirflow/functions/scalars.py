@@ -42,3 +42,30 @@ def split_list(text: Column) -> Column:
 
 def padded_id(prefix: str, number: Column, width: int) -> Column:
     return F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0"))
+
+
+def holds(text: Column, item) -> Column:
+    """Whether a |-separated list holds an item (whole, not as part of another)."""
+    return F.array_contains(split_list(text), item)
+
+
+def with_prefix(columns: list[str], prefix: str) -> list[str]:
+    return [c for c in columns if c.startswith(prefix)]
+
+
+def spaced(code: Column) -> Column:
+    return F.regexp_replace(code, "_", " ")
+
+
+def tail(text: Column, n: int = 4) -> Column:
+    return F.right(text, F.lit(n))
+
+
+def grouped_digits(amount: Column) -> Column:
+    """A whole number with its last three digits and then each two set off by commas: 12,34,567."""
+    return F.regexp_replace(amount.cast("long").cast("string"), r"(?<=\d)(?=(\d\d)*\d{3}$)", ",")
+
+
+def log_width(amount: Column, low: float = 1.0, high: float = 6.0) -> Column:
+    """A line width from the decimal logarithm of an amount, within bounds."""
+    return F.least(F.lit(high), F.greatest(F.lit(low), F.round(F.log10(F.greatest(amount.cast("double"), F.lit(1.0))), 2)))

@@ -40,6 +40,12 @@ def stream_scores(hist: DataFrame, devices: DataFrame, reference: DataFrame) ->
     return x.select(*hist.columns, score.alias("score"))
 
 
+def running_peak(rows: DataFrame, node: str, value: str) -> DataFrame:
+    """txn_id, node, minute, peak: the greatest value of the node up to that minute."""
+    w = Window.partitionBy(node).orderBy("minute").rangeBetween(Window.unboundedPreceding, 0)
+    return rows.select("txn_id", F.col(node).alias("node"), "minute", F.max(value).over(w).alias("peak"))
+
+
 def flagged_at(scored: DataFrame, cut: float) -> DataFrame:
     """node, first minute at which its score exceeded the cut."""
     return scored.where(F.col("score") > cut).groupBy("node").agg(F.min("minute").alias("flagged_minute"))

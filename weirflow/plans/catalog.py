@@ -20,6 +20,7 @@ from weirflow.operators import graph as G
 from weirflow.operators import motifs as M
 from weirflow.operators import relational as R
 from weirflow.operators import response as S
+from weirflow.operators import summary as T
 from weirflow.operators.components import connected_components
 from weirflow.operators.ledger import ledger
 from weirflow.operators.ranks import percentile_below
@@ -48,10 +49,13 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
-def features(s, d) -> DataFrame:
-    tx, acc = transfers(s, d), accounts(s, d)
+def features_of(tx: DataFrame, acc: DataFrame) -> DataFrame:
     both = acc.join(B.behaviour(tx, acc), "account_id").join(R.relational(tx, acc), "account_id")
-    return Scratch(s, "features").save(both, "features")  # a stage table: later steps read it several times
+    return Scratch(tx.sparkSession, "features").save(both, "features")  # a stage table: later steps read it several times
+
+
+def features(s, d) -> DataFrame:
+    return features_of(transfers(s, d), accounts(s, d))
 
 
 def graph(s, d, p=WIDE) -> DataFrame:
@@ -329,13 +333,15 @@ def network_features(s, d) -> DataFrame:
     return Scratch(s, "network").save(x.fillna(0), "features")
 
 
+def final_of(e: DataFrame, acc: DataFrame, f: DataFrame, p: Params = WIDE) -> DataFrame:
+    comm = Scratch(e.sparkSession, "communities").save(member_communities(e), "communities")  # read twice below
+    scored = C.community_scores(C.community_table(f, comm))
+    return D.final_score(C.member_scores(acc, comm, scored).join(M.motif_features(e, acc, p), "account_id"))
+
+
 @query("final_score")
 def _(s, d):
-    e, acc = graph(s, d), accounts(s, d)
-    comm = Scratch(s, "communities").save(member_communities(e), "communities")  # read twice below
-    scored = C.community_scores(C.community_table(features(s, d), comm))
-    f = C.member_scores(acc, comm, scored).join(M.motif_features(e, acc, WIDE), "account_id")
-    return rounded(D.final_score(f), "score")
+    return rounded(final_of(graph(s, d), accounts(s, d), features(s, d)), "score")
 
 
 ISO = ["p10_dwell", "fast_flowthru_n", "med_matched_passthru", "reciprocity", "device_shared_by", "peak_window_passthru", "age_min_at_first_txn", "stranger_in_share", "fan_in", "fan_out", "burstiness", "comm_reciprocity", "betweenness"]
@@ -432,3 +438,46 @@ def _(s, d):
 @query("score_percentile", "SELECT account_id, tier, round(p, 6) AS percentile FROM act")
 def _(s, d):
     return rounded(percentile_below(tiers(s, d), "score", "percentile").select("account_id", "tier", "percentile"), "percentile")
+
+
+@query("cash_out_value", "SELECT CAST(coalesce(sum(amount), 0) AS BIGINT) AS cash_out, count(*) AS transfers FROM tx WHERE receiver IN (SELECT account_id FROM acc WHERE is_exit = 1)")
+def _(s, d):
+    return T.cash_out(transfers(s, d), accounts(s, d))
+
+
+@query("channel_totals", 'SELECT channel, count(*) AS transfers, CAST(sum(amount) AS BIGINT) AS value, min("minute") AS first_minute, max("minute") AS last_minute FROM tx GROUP BY channel')
+def _(s, d):
+    return T.channel_totals(transfers(s, d))
+
+
+@query("time_span", 'SELECT min("minute") AS first_minute, max("minute") AS last_minute, count(*) AS transfers FROM tx')
+def _(s, d):
+    return T.time_span(transfers(s, d))
+
+
+@query("running_peak", 'SELECT txn_id, v AS node, "minute", max(amount) OVER (PARTITION BY v ORDER BY "minute" RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM flow')
+def _(s, d):
+    return S.running_peak(W.flow_edges(transfers(s, d), WIDE), "v", "amount")
+
+
+@query("running_peak_score")
+def _(s, d):
+    return rounded(S.running_peak(scored_history(s, d), "node", "score"), "peak")
+
+
+@query("tier_members", "SELECT account_id, CAST(score AS DOUBLE) AS score, is_mule, account_type FROM tiered WHERE tier = 'freeze'")
+def _(s, d):
+    return A.tier_members(tiers(s, d), accounts(s, d), "freeze", truth=True)
+
+
+@query("taint_replay_receiver")
+def _(s, d):
+    return S.taint_replay(transfers(s, d), accounts(s, d), S.flagged_at(scored_history(s, d), 1.0), block_on="receiver")
+
+
+@query("caught_by_half_time")
+def _(s, d):
+    tx, scored = transfers(s, d), Scratch(s, "scored").save(scored_history(s, d), "history")  # read twice below
+    half = tx.agg(((F.min("minute") + F.max("minute")) / 2).cast("long").alias("m")).first().m
+    ours = scored.groupBy(F.col("node").alias("account_id")).agg(F.max("score").alias("score"))
+    return T.caught(tx, ours, rules(s, d), S.flagged_at(scored, 1.0), accounts(s, d), half, K)
