@@ -19,21 +19,28 @@ OUT = "txn_id long, u long, v long, amount long, minute long, confirmed_minute l
 
 
 def flow_edges_live(stream: DataFrame, p: Params = Params()) -> DataFrame:
-    """stream (txn_id, minute, sender, receiver, amount, channel, ts) to confirmed flow edges; late rows beyond the watermark are Spark's to drop."""
+    """stream (txn_id, minute, sender, receiver, amount, channel, ts) to confirmed flow edges.
+
+    Rows later than the watermark are dropped; an account's state ends two windows after its last row.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     legs = F.array(F.struct(F.col("receiver").alias("acct"), F.lit(1).alias("sgn")), F.struct(F.col("sender").alias("acct"), F.lit(-1).alias("sgn")))
-    led = stream.withWatermark("ts", f"{p.flow_window} minutes").where("channel = 'P2P'").select(F.explode(legs).alias("l"), "txn_id", "minute", "sender", "amount", "ts").select("l.acct", "l.sgn", "txn_id", "minute", F.col("sender").alias("u"), "amount", "ts")
+    led = stream.withWatermark("ts", f"{p.flow_window} minutes").where("channel = 'P2P'").select(F.explode(legs).alias("l"), "txn_id", "minute", "sender", "amount", "ts").select("l.acct", "l.sgn", "txn_id", "minute", F.col("sender").alias("u"), "amount", "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
     num, den = p.flow_ratio
 
     def run(key, batches, state):
         import pandas as pd
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         (acct,) = key
-        held = json.loads(state.get[0]) if state.exists else {"credits": [], "debits": []}
-        rows = sorted((int(m), -int(s), int(i), int(u), int(a)) for pdf in batches for m, s, i, u, a in zip(pdf.minute, pdf.sgn, pdf.txn_id, pdf.u, pdf.amount, strict=True))
+        now = state.getCurrentWatermarkMs()  # Spark drops by the watermark of the batch before, so the rest of late rows goes here
+        held = json.loads(state.get[0]) if state.exists else {"credits": [], "debits": [], "ms": 0}
+        rows = sorted((int(m), -int(s), int(i), int(u), int(a), int(ms)) for pdf in batches for m, s, i, u, a, ms in zip(pdf.minute, pdf.sgn, pdf.txn_id, pdf.u, pdf.amount, pdf.ms, strict=True) if ms >= now)
         out = []
-        for m, s, i, u, a in rows:
+        for m, s, i, u, a, _ in rows:
             if s < 0:
                 if a >= p.flow_floor:
                     held["credits"].append([m, i, u, a])
@@ -52,8 +59,10 @@ def flow_edges_live(stream: DataFrame, p: Params = Params()) -> DataFrame:
                 still.append([m, i, u, a])
         latest = max([r[0] for r in rows], default=0)
         # two windows: rows may come as late as the watermark allows
-        held = {"credits": [c for c in still if c[0] >= latest - 2 * p.flow_window], "debits": [d for d in held["debits"] if d[0] >= latest - 2 * p.flow_window]}
+        last = max([r[5] for r in rows], default=0)
+        held = {"credits": [c for c in still if c[0] >= latest - 2 * p.flow_window], "debits": [d for d in held["debits"] if d[0] >= latest - 2 * p.flow_window], "ms": max(held["ms"], last)}
         state.update((json.dumps(held),))
+        state.setTimeoutTimestamp(max(held["ms"] + 2 * p.flow_window * 60_000, now + 1))
         yield pd.DataFrame(out, columns=["txn_id", "u", "v", "amount", "minute", "confirmed_minute"]).astype("int64")
 
-    return led.groupBy("acct").applyInPandasWithState(run, OUT, "held string", "append", GroupStateTimeout.NoTimeout)
+    return led.groupBy("acct").applyInPandasWithState(run, OUT, "held string", "append", GroupStateTimeout.EventTimeTimeout)
