@@ -69,6 +69,10 @@ def variants(text: str, rng: random.Random, n: int) -> list[list[str]]:
     return out
 
 
+#: Characters of texts with a cue whose windows one task makes.
+TASK_CHARS = 1 << 19
+
+
 def train(seed: int = 5, per_template: int = 12, rounds: int = 200) -> tuple[dict[str, list[float]], list[float], float, float]:
     """(weights by n-gram, bias, temperature, held-out accuracy)."""
     rng, data, held = random.Random(seed), [], []
@@ -155,7 +159,7 @@ def licence_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     s = Scratch(docs.sparkSession, "licences")
     model = train()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).where(F.col("t").rlike(CUES))
-    texts = s.save(texts.select("doc_id", F.monotonically_increasing_id().alias("row"), F.split("t", "\n", -1).alias("lines")), "texts")
+    texts = s.save(texts.select("doc_id", F.monotonically_increasing_id().alias("row"), F.split("t", "\n", -1).alias("lines"), F.length("t").alias("size")), "texts")
     lines = texts.select("doc_id", "row", F.posexplode("lines").alias("paragraph", "line")).where(F.col("line").rlike(CUES))
     words = lines.select("doc_id", "row", "paragraph", normal_words(F.col("line")).alias("w"))
     parts = words.select("doc_id", "row", "paragraph", (F.size("w") <= window).alias("short"), F.explode(F.transform(windows(F.col("w"), window, window // 2), lambda x: F.array_join(x, " "))).alias("norm")).where(F.col("norm").rlike(CUES))
@@ -165,7 +169,11 @@ def licence_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = single.where("confirmed and short").groupBy("row").agg(F.collect_set("paragraph").alias("known"))
     numbered = F.flatten(F.transform("lines", lambda x, i: F.when(F.coalesce(F.array_contains("known", i), F.lit(False)), F.array().cast("array<struct<i:int,w:string>>")).otherwise(F.transform(normal_words(x), lambda w: F.struct(i.alias("i"), w.alias("w"))))))
     cues = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(CUES), i)), lambda i: i.isNotNull())
-    joined = texts.where(F.size("lines") > 1).join(known, "row", "left").select("doc_id", "row", numbered.alias("w"), cues.alias("cues")).where(F.size("w") > 0)
+    # the windows of a text take far longer than reading it, so tasks follow the characters, not the size of the files
+    wrapped = texts.where(F.size("lines") > 1)
+    chars = wrapped.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
+    wrapped = wrapped.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(chars / TASK_CHARS)), "row")
+    joined = wrapped.join(known, "row", "left").select("doc_id", "row", numbered.alias("w"), cues.alias("cues")).where(F.size("w") > 0)
     joined = joined.select("doc_id", "row", "cues", F.explode(F.concat(*[windows(F.col("w"), n, k) for n, k in ((window, window // 2), (window * 2 // 3, window // 6), (window // 3, window // 12))])).alias("x"))
     joined = joined.select("doc_id", "row", "cues", F.array_min("x.i").alias("lo"), F.array_max("x.i").alias("hi"), F.array_join("x.w", " ").alias("norm")).where("lo < hi").where(F.col("norm").rlike(CUES))
     first = F.coalesce(F.array_min(F.filter("cues", lambda i: i.between(F.col("lo"), F.col("hi")))), F.col("lo"))
