@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weirflow.operators.adjacency import FAR, adjacency, nearest_levels, numbered
 from weirflow.operators.components import connected_components
+from weirflow.operators.ranks import counts_before
 from weirflow.schema import Params
 from weirflow.storage import Scratch
 
 #: Edges of a graph that a driver-side or broadcast step may hold; larger inputs are refused, not cut.
 MAX_HELD_EDGES = 2_000_000
+#: Links that each worker may hold as arrays (12 bytes a link at most); a larger graph is walked by joins.
+HELD_LINKS = 20_000_000
+#: Rows (start, node) that a walk by joins keeps at a time; it takes its starts in as many turns as that needs.
+ROWS_A_TURN = 50_000_000
 
 
 def pair_edges(tx: DataFrame, p: Params = Params()) -> DataFrame:
@@ -47,22 +53,63 @@ def k_core(e: DataFrame) -> DataFrame:
     return out
 
 
-def time_respecting_distance(e: DataFrame, seeds: DataFrame) -> DataFrame:
+def _turns(starts: DataFrame, nodes: int, s: Scratch, rows: int) -> list[DataFrame]:
+    """The starts (node) in turns that keep at most ``rows`` rows (start, node), one start at least."""
+    each = max(1, rows // max(nodes, 1))
+    x = s.save(counts_before(starts, "node").select(F.col("value").alias("node"), F.floor(F.col("before") / each).alias("turn")), "turns")
+    return [x.where(F.col("turn") == k).select("node") for k in range(-(-x.count() // each))]
+
+
+def time_respecting_distance(e: DataFrame, seeds: DataFrame, tasks: int = 32, held: int = HELD_LINKS, rows: int = ROWS_A_TURN) -> DataFrame:
     """node, distance to the nearest seed along edges (sender, receiver, t_first) of non-decreasing first times.
 
-    Breadth first from every seed at once; a node keeps the earliest arrival of its first level.
+    Breadth first from each seed; a node keeps the earliest arrival of its first level, so one seed's walk cannot stand
+    for another's. Up to ``held`` edges tasks walk arrays and keep one seed's state at a time; beyond, levels are joined.
     """
-    s = Scratch(e.sparkSession, "bfs")
+    spark, s = e.sparkSession, Scratch(e.sparkSession, "bfs")
     edges = s.save(e.select("sender", "receiver", "t_first"), "edges")
-    nodes = edges.select(F.explode(F.array("sender", "receiver")).alias("node")).distinct()
-    seen = s.save(seeds.select(F.col("account_id").alias("node")).join(nodes, "node", "left_semi").select(F.col("node").alias("seed"), "node", F.lit(-1).cast("long").alias("t"), F.lit(0).alias("d")), "seen")
-    front, level = seen, 0
-    while not front.isEmpty():
-        level += 1
-        step = front.join(edges, F.col("node") == F.col("sender")).where("t_first >= t").groupBy("seed", F.col("receiver").alias("node")).agg(F.min("t_first").alias("t"))
-        front = s.save(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("d", F.lit(level)).select("seed", "node", "t", "d"), "front")
-        seen = s.save(seen.unionByName(front), "seen")
-    return seen.groupBy("node").agg(F.min("d").cast("long").alias("time_resp_dist_to_seed"))
+    numbers = numbered(edges, "sender", "receiver", s)
+    starts = s.save(numbers.join(seeds.select(F.col("account_id").alias("node")), "node", "left_semi"), "seeds")
+    if edges.count() > held:
+        got = _distance_by_joins(edges, starts, numbers.count(), s, rows)
+    else:
+        import numpy as np
+
+        every = np.sort(np.array([r.i for r in starts.select("i").collect()], np.int64))  # no more than held links have ends
+        shared = spark.sparkContext.broadcast((adjacency(edges, numbers, "sender", "receiver", "t_first"), every))
+
+        def run(it):
+            import pandas as pd
+
+            mine = [pdf.i.to_numpy() for pdf in it]
+            if sum(map(len, mine)):
+                d = nearest_levels(shared.value[0], np.concatenate(mine).astype(np.int64), shared.value[1])
+                at = np.flatnonzero(d < FAR)
+                yield pd.DataFrame({"i": at, "d": d[at]}).astype("int32")
+
+        near = starts.select("i").repartition(tasks, "i").mapInPandas(run, "i int, d int").groupBy("i").agg(F.min("d").alias("d"))
+        got = numbers.join(near, "i")
+    return got.groupBy("node").agg(F.min("d").cast("long").alias("time_resp_dist_to_seed"))
+
+
+def _distance_by_joins(edges: DataFrame, starts: DataFrame, nodes: int, s: Scratch, rows: int) -> DataFrame:
+    """node, d: the same walks by one join a level, the seeds in turns; a turn's rows go once its nearest distances are stored."""
+    out = starts.select("node", F.lit(0).alias("d"))
+    for turn in _turns(starts, nodes, s, rows):
+        front = s.save(turn.select(F.col("node").alias("seed"), "node", F.lit(-1).cast("long").alias("t"), F.lit(0).alias("d")), "front")
+        levels = [front]
+        while not front.isEmpty():
+            step = front.join(edges, F.col("node") == F.col("sender")).where("t_first >= t").groupBy("seed", F.col("receiver").alias("node")).agg(F.min("t_first").alias("t"))
+            for x in levels:
+                step = step.join(x.select("seed", "node"), ["seed", "node"], "left_anti")
+            front = s.save(step.select("seed", "node", "t", F.lit(len(levels)).alias("d")), "front")
+            levels.append(front)
+        every = levels[0]
+        for x in levels[1:]:
+            every = every.unionByName(x)
+        out = out.unionByName(s.save(every.groupBy("node").agg(F.min("d").alias("d")), "near"))
+        s.drop(*levels)
+    return out
 
 
 def _held(e: DataFrame, cols: list[str]) -> list:
