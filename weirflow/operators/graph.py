@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.operators.adjacency import FAR, adjacency, nearest_levels, numbered
+from weirflow.operators.adjacency import FAR, Adjacency, add_dependencies, adjacency, core_numbers, nearest_levels, numbered
 from weirflow.operators.components import connected_components
 from weirflow.operators.ranks import counts_before
 from weirflow.schema import Params
 from weirflow.storage import Scratch
 
-#: Edges of a graph that a driver-side or broadcast step may hold; larger inputs are refused, not cut.
-MAX_HELD_EDGES = 2_000_000
 #: Links that each worker may hold as arrays (12 bytes a link at most); a larger graph is walked by joins.
 HELD_LINKS = 20_000_000
 #: Rows (start, node) that a walk by joins keeps at a time; it takes its starts in as many turns as that needs.
@@ -30,10 +31,49 @@ def undirected(e: DataFrame, u: str = "u", v: str = "v", w: str = "w") -> DataFr
     return e.where(F.col(u) != F.col(v)).groupBy(F.least(u, v).alias("a"), F.greatest(u, v).alias("b")).agg(F.sum(w).alias("w"))
 
 
-def k_core(e: DataFrame) -> DataFrame:
-    """node, k_core of an undirected edge table (a, b): nodes of too low a degree are peeled until none is left."""
-    s = Scratch(e.sparkSession, "k-core")
-    left = s.save(e.select("a", "b").distinct(), "edges")
+def _both_ways(e: DataFrame) -> DataFrame:
+    return e.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("x")).select("x.u", "x.v")
+
+
+@dataclass(frozen=True)
+class Undirected:
+    """Stored edges (a, b), the numbers of their nodes, and the links as arrays in each worker, or None for those of too large a graph."""
+
+    pairs: DataFrame
+    numbers: DataFrame
+    shared: Broadcast | None
+
+
+def hold(e: DataFrame, held: int = HELD_LINKS) -> Undirected:
+    """An undirected edge table (a, b), each pair once, made ready for several walks; ``shared.destroy()`` ends them."""
+    s = Scratch(e.sparkSession, "graph")
+    pairs = s.save(e.select("a", "b"), "edges")
+    numbers = numbered(pairs, "a", "b", s)
+    small = 2 * pairs.count() <= held
+    return Undirected(pairs, numbers, e.sparkSession.sparkContext.broadcast(adjacency(_both_ways(pairs), numbers, s, "u", "v")) if small else None)
+
+
+def k_core(e: DataFrame | Undirected, held: int = HELD_LINKS) -> DataFrame:
+    """node, k_core of an undirected edge table (a, b): nodes of too low a degree are peeled until none is left.
+
+    Up to ``held`` links one task peels them in arrays; beyond, each round is a job.
+    """
+    g = e if isinstance(e, Undirected) else hold(e.select("a", "b").distinct(), held)
+    e, spark = g.pairs, g.pairs.sparkSession
+    s = Scratch(spark, "k-core")
+    left = g.pairs
+    if g.shared is not None:
+        shared = g.shared
+
+        def run(it):
+            import pandas as pd
+
+            for _ in it:
+                core = core_numbers(shared.value)
+                yield pd.DataFrame({"i": range(len(core)), "k_core": core}).astype("int32")
+
+        got = spark.range(1).coalesce(1).mapInPandas(run, "i int, k_core int")
+        return s.save(g.numbers.join(got, "i").select("node", "k_core"), "core")
     parts, k = [], 1
     while not left.isEmpty():
         deg = s.save(left.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count(), "degrees")
@@ -45,7 +85,7 @@ def k_core(e: DataFrame) -> DataFrame:
         # nodes that vanish with their last edge have the same core number as those peeled
         gone = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(after.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_anti")
         parts.append(s.save(gone.withColumn("k_core", F.lit(k - 1)), "core"))
-        s.drop(low)
+        s.drop(low, *([left] if left is not e else []))
         left = after
     out = e.select(F.col("a").alias("node"), F.lit(0).alias("k_core")).limit(0)
     for x in parts:
@@ -76,7 +116,7 @@ def time_respecting_distance(e: DataFrame, seeds: DataFrame, tasks: int = 32, he
         import numpy as np
 
         every = np.sort(np.array([r.i for r in starts.select("i").collect()], np.int64))  # no more than held links have ends
-        shared = spark.sparkContext.broadcast((adjacency(edges, numbers, "sender", "receiver", "t_first"), every))
+        shared = spark.sparkContext.broadcast((adjacency(edges, numbers, s, "sender", "receiver", "t_first"), every))
 
         def run(it):
             import pandas as pd
@@ -112,55 +152,65 @@ def _distance_by_joins(edges: DataFrame, starts: DataFrame, nodes: int, s: Scrat
     return out
 
 
-def _held(e: DataFrame, cols: list[str]) -> list:
-    rows = e.select(*cols).limit(MAX_HELD_EDGES + 1).collect()
-    if len(rows) > MAX_HELD_EDGES:
-        raise ValueError(f"more than {MAX_HELD_EDGES} edges; prune the graph before this operator")
-    return rows
+def betweenness(e: DataFrame | Undirected, sources: int = 150, batches: int = 16, held: int = HELD_LINKS, rows: int = ROWS_A_TURN) -> DataFrame:
+    """node, betweenness sampled from at most ``sources`` nodes (smallest hashes), sources in parallel.
 
+    Up to ``held`` links tasks walk arrays; beyond, levels are joined, the sources in turns.
+    """
+    g = e if isinstance(e, Undirected) else hold(e, held)
+    s, numbers = Scratch(g.pairs.sparkSession, "betweenness"), g.numbers
+    n = numbers.count()
+    k = min(sources, max(n, 1))
+    picked = s.save(numbers.orderBy(F.xxhash64("node"), "node").limit(k), "sources")
+    if g.shared is None:
+        sums = _dependencies_by_joins(s.save(_both_ways(g.pairs), "links"), picked, n, s, rows)
+    else:
+        shared = g.shared
 
-def betweenness(e: DataFrame, sources: int = 150, batches: int = 16) -> DataFrame:
-    """node, betweenness sampled from at most ``sources`` nodes (smallest hashes), sources in parallel."""
-    spark = e.sparkSession
-    adj: dict = {}
-    for r in _held(e, ["a", "b"]):
-        adj.setdefault(r.a, []).append(r.b)
-        adj.setdefault(r.b, []).append(r.a)
-    shared, n = spark.sparkContext.broadcast(adj), len(adj)
-    nodes = spark.createDataFrame([(x,) for x in adj], "source long")
-    picked = nodes.orderBy(F.xxhash64("source"), "source").limit(min(sources, max(n, 1))).repartition(batches, "source")
-
-    def run(it):
-        from collections import deque
-
-        import pandas as pd
+        def run(it):
+            import numpy as np
+            import pandas as pd
 
-        g, acc = shared.value, {}
-        for pdf in it:
-            for s in pdf.source:
-                order, before, sigma, dist, queue = [], {s: []}, {s: 1.0}, {s: 0}, deque([s])
-                while queue:
-                    x = queue.popleft()
-                    order.append(x)
-                    for y in g[x]:
-                        if y not in dist:
-                            dist[y], before[y], sigma[y] = dist[x] + 1, [], 0.0
-                            queue.append(y)
-                        if dist[y] == dist[x] + 1:
-                            sigma[y] += sigma[x]
-                            before[y].append(x)
-                delta = dict.fromkeys(order, 0.0)
-                for y in reversed(order):
-                    for x in before[y]:
-                        delta[x] += sigma[x] / sigma[y] * (1 + delta[y])
-                    if y != s:
-                        acc[y] = acc.get(y, 0.0) + delta[y]
-        yield pd.DataFrame({"node": list(acc), "part": list(acc.values())}).astype({"node": "int64", "part": "float64"})
+            total = np.zeros(shared.value.nodes)
+            for pdf in it:
+                add_dependencies(shared.value, pdf.i.tolist(), total)
+            at = np.flatnonzero(total)
+            yield pd.DataFrame({"i": at, "part": total[at]}).astype({"i": "int32"})
 
-    k = min(sources, max(n, 1))
+        parts = s.save(picked.select("i").repartition(batches, "i").mapInPandas(run, "i int, part double"), "parts")
+        sums = numbers.join(parts.groupBy("i").agg(F.sum("part").alias("p")), "i").select("node", "p")
     scale = (1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0) * n / k
-    sums = picked.mapInPandas(run, "node long, part double").groupBy("node").agg(F.sum("part").alias("p"))
-    return nodes.select(F.col("source").alias("node")).join(sums, "node", "left").select("node", (F.coalesce("p", F.lit(0.0)) * scale).alias("betweenness"))
+    return numbers.select("node").join(sums, "node", "left").select("node", (F.coalesce("p", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def _dependencies_by_joins(links: DataFrame, picked: DataFrame, nodes: int, s: Scratch, rows: int) -> DataFrame:
+    """node, p: shares in the shortest paths from the picked nodes, by one join a level out and one back."""
+    out, key = None, ["source", "node"]
+    for turn in _turns(picked, nodes, s, rows):
+        levels = [s.save(turn.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("sigma")), "level")]
+        while not levels[-1].isEmpty():
+            step = levels[-1].join(links, F.col("node") == F.col("u")).groupBy("source", F.col("v").alias("node")).agg(F.sum("sigma").alias("sigma"))
+            for x in levels[-2:]:  # a link joins neighbouring levels
+                step = step.join(x.select(*key), key, "left_anti")
+            levels.append(s.save(step, "level"))
+        beyond, shares = None, []
+        for x in levels[-2:0:-1]:
+            got = x.withColumn("p", F.lit(0.0))
+            if beyond is not None:
+                back = beyond.join(links, F.col("node") == F.col("u")).groupBy("source", F.col("v").alias("node")).agg(F.sum("x").alias("x"))
+                got = x.join(back, key, "left").withColumn("p", F.col("sigma") * F.coalesce("x", F.lit(0.0)))
+            beyond = s.save(got.select(*key, "p", ((1 + F.col("p")) / F.col("sigma")).alias("x")), "shares")
+            shares.append(beyond)
+        one = None
+        for x in shares:
+            one = x.select("node", "p") if one is None else one.unionByName(x.select("node", "p"))
+        if one is not None:
+            one = s.save(one.groupBy("node").agg(F.sum("p").alias("p")), "sums")
+            out = one if out is None else out.unionByName(one)
+        s.drop(*levels, *shares)
+    if out is None:
+        return picked.select("node", F.lit(0.0).alias("p"))
+    return out.groupBy("node").agg(F.sum("p").alias("p"))
 
 
 def louvain(e: DataFrame) -> DataFrame:

@@ -325,12 +325,15 @@ def network_features(s, d) -> DataFrame:
     comm = Scratch(s, "communities").save(member_communities(e), "communities")  # read three times below
     scored = C.community_scores(C.community_table(f, comm))
     pairs = Scratch(s, "pairs").save(G.pair_edges(transfers(s, d)), "pairs")
-    both = G.undirected(pairs, "sender", "receiver", "w")
+    both = G.hold(G.undirected(pairs, "sender", "receiver", "w"))  # cores and centrality walk the same links
     mutual = G.community_reciprocity(pairs, comm).join(comm, "community").select(F.col("node").alias("account_id"), "comm_size", "comm_reciprocity")
     x = f.join(C.member_scores(acc, comm, scored), "account_id").join(M.motif_features(e, acc, WIDE), "account_id").join(mutual, "account_id", "left")
     for g in (G.k_core(both), G.betweenness(both)):
         x = x.join(g.withColumnRenamed("node", "account_id"), "account_id", "left")
-    return Scratch(s, "network").save(x.fillna(0), "features")
+    out = Scratch(s, "network").save(x.fillna(0), "features")
+    if both.shared is not None:
+        both.shared.destroy()
+    return out
 
 
 def final_of(e: DataFrame, acc: DataFrame, f: DataFrame, p: Params = WIDE) -> DataFrame:
