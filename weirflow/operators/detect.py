@@ -90,7 +90,8 @@ def isolation_scores(f: DataFrame, cols: list[str], trees: int = 400, sample: in
     rng = np.random.default_rng(seed)
     stats = f.agg(*[g(c).alias(f"{n}_{c}") for c in cols for g, n in ((F.avg, "m"), (F.stddev_pop, "s"))]).first()
     m, s = np.array([float(stats[f"m_{c}"] or 0) for c in cols]), np.array([float(stats[f"s_{c}"] or 0) or 1.0 for c in cols])
-    rows = np.array([[float(r[c]) for c in cols] for r in f.select(*cols).orderBy(F.xxhash64("account_id", F.lit(seed))).limit(trees * sample).collect()]).reshape(-1, len(cols))  # bounded sample
+    some = f.select("account_id", *[F.col(c).cast("double") for c in cols]).orderBy(F.xxhash64("account_id", F.lit(seed))).limit(trees * sample).select(*cols)
+    rows = some.toArrow().to_pandas().to_numpy(float).reshape(-1, len(cols))  # bounded sample; by columns, a tenth of the memory of rows
     rows = (rows - m) / s
     top = int(np.ceil(np.log2(max(sample, 2))))
 
