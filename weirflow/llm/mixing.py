@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.llm.columns import carried
-from weirflow.storage import Scratch
+from weirflow.storage import Scratch, local_table
 
 
 def targets(sizes: dict, weights: dict, budget: Fraction, cap: int = 2) -> dict:
@@ -143,7 +143,7 @@ def mix(
         whole, rest = divmod(given[p], n) if n else (0, 0)
         lead = p[0] if p else None
         plan.append((list(p), whole, rest, sizes.get(lead, 0), float(goal.get(lead, 0))))
-    plan_df = spark.createDataFrame(plan or [([None], 0, 0, 0, 0.0)], "p array<string>, whole long, rest long, source_size long, target double")
+    plan_df = local_table(spark, plan or [([None], 0, 0, 0, 0.0)], "p array<string>, whole long, rest long, source_size long, target double")
     planned = sized.withColumn("_k", F.to_json("_m", {"ignoreNullFields": "false"})).join(
         F.broadcast(plan_df.select(F.to_json("p", {"ignoreNullFields": "false"}).alias("_k"), "whole", "rest", "source_size", "target").dropDuplicates(["_k"])), "_k"  # bounded by max_patterns
     )

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.llm.columns import carried
-from weirflow.storage import Scratch
+from weirflow.storage import Scratch, local_table
 
 RING = 1 << 62
 
@@ -112,7 +112,7 @@ def shard_rows(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_c
     before = blocks.select(F.col("arc").alias("_arc"), F.col("block").alias("_block"), F.coalesce(starts, F.lit(0)).alias("before"))
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("arc", "block").orderBy("h", "doc_id", "text_crc32", "size")) - 1)
     ranked = ranked.join(before, (F.col("arc") == F.col("_arc")) & (F.col("block") == F.col("_block"))).withColumn("rank", F.col("before") + F.col("r"))
-    table = spark.createDataFrame([(i, a, b, shard, slot) for i, a, b, shard, slot in pieces] or [(0, 0, 0, 0, 0)], "p_arc int, lo long, hi long, shard int, first_slot long")
+    table = local_table(spark, [(i, a, b, shard, slot) for i, a, b, shard, slot in pieces] or [(0, 0, 0, 0, 0)], "p_arc int, lo long, hi long, shard int, first_slot long")
     placed = ranked.join(F.broadcast(table), (F.col("arc") == F.col("p_arc")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))  # bounded: pieces of shards * vnodes arcs
     home = F.element_at(F.lit([o for _, o in points]), F.col("arc") + 1)
     return placed.select(

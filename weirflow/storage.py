@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +48,19 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, old) if old is not None else spark.conf.unset(key)
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of the driver as a local relation, by way of Arrow.
+
+    ``createDataFrame`` on a list passes it through Python workers, for which each executor keeps a second daemon.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = StructType.fromDDL(schema)
+    fields = to_arrow_schema(kind)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], schema=fields), kind)
+
+
 class Scratch:
     """Tables of one job: ``save`` writes and rereads, ``drop`` deletes those no longer needed, ``close`` all of them."""
 
