@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from weirflow.storage import Scratch
 
-#: Distinct edges that the driver holds as arrays; about 100 bytes an edge while they are contracted.
+#: Distinct edges that the driver holds as arrays; up to 115 bytes an edge while they are contracted.
 HELD_EDGES = 500_000
 
 
