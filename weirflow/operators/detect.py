@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.functions.scalars import split_list
-from weirflow.operators.boosting import Options, fit
+from weirflow.operators.boosting import HELD_BYTES, Blocks, Model, Options, boost
 from weirflow.operators.ranks import counts_before, quantiles
 from weirflow.schema import CONFOUNDERS
 from weirflow.storage import Scratch
@@ -146,33 +146,95 @@ def stratified_folds(f: DataFrame, folds: int, seed: int) -> DataFrame:
     return out
 
 
-def gbm_out_of_fold(f: DataFrame, cols: list[str], folds: int = 5, options: Options = Options(), seed: int = 0, max_rows: int = 200_000):
-    """account_id, score: each account scored by boosted trees that did not see it, classes weighted; importances by column.
+def fold_edges(x: DataFrame, cols: list[str], folds: int, bins: int) -> dict[int, list]:
+    """By fold left out, each column's bin edges: quantiles of all rows of the other folds, interpolated as numpy does.
 
-    A fold's trees are fitted in one task, all folds at once, on at most ``max_rows`` accounts (smallest hashes);
-    every account is scored.
+    All values are sorted by column, one task a column, and read once in that order; x has fold and columns without nulls.
     """
     import numpy as np
     import pandas as pd
 
-    s = Scratch(f.sparkSession, "gbm")
-    x = s.save(f.join(stratified_folds(f, folds, seed), "account_id").select("account_id", "is_mule", "fold", *[F.col(c).cast("double") for c in cols]), "rows")
-    some = x.orderBy(F.xxhash64("account_id", F.lit(seed)), "account_id").limit(max_rows)
-    train = some.withColumn("left_out", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("left_out <> fold")
+    sizes = {r.fold: r["count"] for r in x.groupBy("fold").count().collect()}
+    q, rows = np.linspace(0, 1, bins)[1:-1], {k: sum(sizes.values()) - sizes.get(k, 0) for k in range(folds)}
+    at = {k: q * (n - 1) for k, n in rows.items() if n}
+    ranks = {k: np.unique(np.concatenate([np.floor(a), np.minimum(np.floor(a) + 1, rows[k] - 1)]).astype(np.int64)) for k, a in at.items()}
+
+    def edges(k, found):
+        low = np.floor(at[k]).astype(np.int64)
+        a, b = (found[np.searchsorted(ranks[k], np.minimum(r, rows[k] - 1))] for r in (low, low + 1))
+        t = at[k] - low
+        return np.unique(np.where(t >= 0.5, b - (b - a) * (1 - t), a + (b - a) * t))
+
+    def read(it):
+        seen, found = {}, {}
+        for pdf in it:
+            for j, part in pdf.groupby("j"):
+                v, fold = part.v.to_numpy(), part.fold.to_numpy()
+                for k, need in ranks.items():
+                    mine, before = v[fold != k], seen.get((j, k), 0)
+                    lo, hi = np.searchsorted(need, [before, before + len(mine)])
+                    found.setdefault((j, k), []).append(mine[need[lo:hi] - before])
+                    seen[j, k] = before + len(mine)
+        for (j, k), parts in found.items():
+            yield pd.DataFrame({"left_out": [k], "j": [j], "edges": [edges(k, np.concatenate(parts))]})
+
+    every = x.select("fold", F.posexplode(F.array(*cols)).alias("j", "v")).repartition(len(cols), "j").sortWithinPartitions("j", "v")
+    got = {(r.left_out, r.j): np.array(r.edges) for r in every.mapInPandas(read, "left_out int, j int, edges array<double>").collect()}  # folds * columns rows
+    return {k: [got[k, j] for j in range(len(cols))] for k in at}
+
+
+def gbm_out_of_fold(f: DataFrame, cols: list[str], folds: int = 5, options: Options = Options(), seed: int = 0, held: int = HELD_BYTES):
+    """account_id, score: each account scored by boosted trees that did not see it, classes weighted; importances by column.
 
-    def learn(pdf):
-        pdf = pdf.sort_values("account_id")
-        m = fit(pdf[cols].fillna(0.0).to_numpy(float), pdf.is_mule.to_numpy(float), options, seed)
-        return pd.DataFrame({"fold": [int(pdf.left_out.iloc[0])], "model": [pickle.dumps(m)]})
+    A fold's trees are fitted in one task, all folds at once, on all accounts of the other folds. A task keeps up to
+    ``held`` bytes of them in memory, a byte a value and 32 an account, and the others in local files.
+    """
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
 
-    models = {r.fold: pickle.loads(bytes(r.model)) for r in train.groupBy("left_out").applyInPandas(learn, "fold int, model binary").collect()}  # one per fold
+    s = Scratch(f.sparkSession, "gbm")
+    numbers = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in cols]
+    x = s.save(f.join(stratified_folds(f, folds, seed), "account_id").select("account_id", "is_mule", "fold", *numbers), "rows")
+    cuts = f.sparkSession.sparkContext.broadcast(fold_edges(x, cols, folds, options.bins))  # bounded by folds, columns and bins
+    kind = np.uint8 if options.bins <= 256 else np.uint16
+
+    def encode(it):
+        for batch in it:
+            key, y, fold = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("account_id", "is_mule", "fold"))
+            v = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in cols], 1)
+            for k, edges in cuts.value.items():
+                use = fold != k
+                code = np.ascontiguousarray(Model(edges, 0.0).codes(v[use]), kind)
+                ends = np.arange(len(code) + 1, dtype=np.int32) * np.int32(len(cols) * code.itemsize)
+                packed = pa.Array.from_buffers(pa.binary(), len(code), [None, pa.py_buffer(ends), pa.py_buffer(code)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), k, np.int32)), pa.array(key[use], pa.int64()), pa.array(y[use], pa.int32()), packed], ["left_out", "account_id", "is_mule", "code"])
+
+    def learn(it):
+        left_out, blocks = None, Blocks(held)
+        try:
+            for batch in it:
+                if not batch.num_rows:
+                    continue
+                left_out, packed = batch.column("left_out")[0].as_py(), batch.column("code").cast(pa.binary())
+                ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+                code = np.frombuffer(packed.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(len(packed), len(cols))
+                blocks.add(code.copy(), batch.column("is_mule").to_numpy(zero_copy_only=False), batch.column("account_id").to_numpy(zero_copy_only=False))
+            if left_out is not None:
+                m = boost(blocks, cuts.value[left_out], options, seed)
+                yield pa.RecordBatch.from_arrays([pa.array([left_out], pa.int32()), pa.array([pickle.dumps(m)], pa.binary())], ["fold", "model"])
+        finally:
+            blocks.close()
+
+    train = x.mapInArrow(encode, "left_out int, account_id long, is_mule int, code binary").repartitionById(folds, "left_out")
+    models = {r.fold: pickle.loads(bytes(r.model)) for r in train.mapInArrow(learn, "fold int, model binary").collect()}  # one per fold
     shared = f.sparkSession.sparkContext.broadcast(models)  # bounded by rounds and leaves
     total = sum(m.gains.sum() for m in models.values()) or 1.0
     importance = {c: float(sum(m.gains[j] for m in models.values()) / total) for j, c in enumerate(cols)}
 
     def score(it):
         for pdf in it:
-            v, out = pdf[cols].fillna(0.0).to_numpy(float), np.zeros(len(pdf))
+            v, out = pdf[cols].to_numpy(float), np.zeros(len(pdf))
             for k, m in shared.value.items():
                 at = np.flatnonzero(pdf.fold.to_numpy() == k)
                 out[at] = m.score(v[at])
