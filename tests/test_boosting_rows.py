@@ -1,12 +1,12 @@
 """Boosted trees use every account: no bound on training rows, the same trees from memory and from files."""
 
-import inspect
-
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weirflow.operators import boosting as B
 from weirflow.operators.detect import gbm_out_of_fold, stratified_folds
+from weirflow.plans import catalog
 
 FEW = B.Options(rounds=6, leaves=7)
 
@@ -85,18 +85,32 @@ def test_out_of_fold_models_are_fitted_on_all_other_accounts(spark, held):
         assert np.array_equal([score[i] for i in ids[out]], want.score(x[out]))
 
 
-def test_more_accounts_than_the_former_bound_all_count(spark):
-    """The former code fitted on 200,000 accounts chosen by hash; here only accounts beyond them are mules of the kind b = 1."""
-    from pyspark.sql import functions as F
-
-    n, bound = 240_000, 200_000
+def beyond(spark, n=240_000, bound=200_000):
+    """account_id, early: whether the account is among the ``bound`` ones that the former code fitted on."""
     ids = spark.range(n).withColumnRenamed("id", "account_id")
-    late = ids.orderBy(F.xxhash64("account_id", F.lit(0)), "account_id").limit(bound).withColumn("early", F.lit(1))
-    f = ids.join(late, "account_id", "left").select("account_id", F.coalesce("early", F.lit(0)).alias("early"))
-    f = f.withColumn("b", F.when(F.col("early") == 0, F.pmod("account_id", F.lit(2))).otherwise(0).cast("double")).withColumn("a", F.pmod("account_id", F.lit(50)).cast("double"))
+    early = ids.orderBy(F.xxhash64("account_id", F.lit(0)), "account_id").limit(bound).withColumn("early", F.lit(1))
+    return ids.join(early, "account_id", "left").select("account_id", F.coalesce("early", F.lit(0)).alias("early"))
+
+
+def test_more_accounts_than_the_former_bound_all_count(spark):
+    """Only accounts beyond the former bound have b = 1, all of them mules."""
+    f = beyond(spark).withColumn("b", F.when(F.col("early") == 0, F.pmod("account_id", F.lit(2))).otherwise(0).cast("double")).withColumn("a", F.pmod("account_id", F.lit(50)).cast("double"))
     f = f.withColumn("is_mule", ((F.col("b") == 1) | (F.col("a") == 7)).cast("int"))
     got, importance = gbm_out_of_fold(f, ["a", "b"], 2, B.Options(rounds=3, leaves=4, columns=1.0, rows=1.0))
     assert importance["b"] > 0.1
-    r = got.join(f, "account_id").groupBy("b").agg(F.min("score").alias("low"), F.max("score").alias("top"), F.count("*").alias("n")).orderBy("b").collect()
-    assert sum(x.n for x in r) == n and r[1].low > 0.5
-    assert "max_rows" not in inspect.signature(gbm_out_of_fold).parameters
+    r = got.join(f, "account_id").groupBy("b").agg(F.min("score").alias("low"), F.count("*").alias("n")).orderBy("b").collect()
+    assert sum(x.n for x in r) == 240_000 and r[1].low > 0.5
+
+
+def test_leaderboard_ranks_models_of_all_accounts(spark, monkeypatch):
+    """All mules lie beyond the former bound and have the largest fan-in; models fitted below it saw one class only."""
+    f = beyond(spark).withColumn("is_mule", F.when(F.col("early") == 0, F.pmod("account_id", F.lit(2))).otherwise(0).cast("int"))
+    others = {*catalog.ISO, *catalog.PRIOR, *catalog.ACTIVITY, "peak_in_val", "comm_score", "motif_chain_depth"} - {"fan_in", "in_n"}
+    x = f.drop("early").withColumns({c: F.lit(1.0) for c in sorted(others)}).withColumns({c: F.col("is_mule") * 9.0 for c in ("fan_in", "in_n")})
+    acc = f.select("account_id", "is_mule", F.lit("").alias("mule_network_id"), F.lit("salary").alias("account_type"))
+    monkeypatch.setattr(catalog, "network_features", lambda s, d: x)
+    monkeypatch.setattr(catalog, "accounts", lambda s, d: acc)
+    monkeypatch.setattr(catalog.D, "unsupervised_score", lambda f, *_: f.select("account_id", F.lit(0.0).alias("score")))  # slow here, and not at issue
+    monkeypatch.setattr(catalog.D, "gbm_out_of_fold", lambda f, cols: gbm_out_of_fold(f, cols, 2, B.Options(rounds=2, leaves=3, columns=1.0)))
+    got = {r.detector: r.precision_at_k for r in catalog.QUERIES["leaderboard"](spark, "").collect()}
+    assert len(got) == 8 and all(got[k] == 1.0 for k in ("gbm_all", "gbm_curated", "gbm_activity"))
